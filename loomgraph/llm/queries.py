@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import canonical, history, leakage, tokenize, toxicity
+from loomgraph.llm import canonical, history, leakage, syntax, tokenize, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.found(_table(spark, sf_dir, "chunks"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.found(_table(spark, sf_dir, "files"))
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.rates(_table(spark, sf_dir, "files"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_corpus(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +60,6 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_unmatched, p3_found, p6_ids, p7_found, p7_spans, p7_items, p8_found, p8_scores, p8_rates)
+    f.__name__: f for f in (p2_found, p2_unmatched, p3_found, p4_found, p4_rates, p6_ids, p7_found, p7_spans, p7_items, p8_found, p8_scores, p8_rates)
 }
 ORACLE_SQL: dict[str, str] = {}
