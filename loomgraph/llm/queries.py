@@ -4,13 +4,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import canonical, history, leakage, syntax, tokenize, toxicity
+from loomgraph.llm import canonical, docpairs, history, leakage, origin, syntax, tokenize, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return origin.found(_table(spark, sf_dir, "files"))
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return origin.report(_table(spark, sf_dir, "files"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.found(_table(spark, sf_dir, "facts"), _table(spark, sf_dir, "predicates"))
 
@@ -31,6 +39,14 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.rates(_table(spark, sf_dir, "files"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.found(_table(spark, sf_dir, "files"))
+
+
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.pairs(_table(spark, sf_dir, "files"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_corpus(_table(spark, sf_dir, "documents"))
 
@@ -60,6 +76,6 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_unmatched, p3_found, p4_found, p4_rates, p6_ids, p7_found, p7_spans, p7_items, p8_found, p8_scores, p8_rates)
+    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_unmatched, p3_found, p4_found, p4_rates, p5_found, p5_pairs, p6_ids, p7_found, p7_spans, p7_items, p8_found, p8_scores, p8_rates)
 }
 ORACLE_SQL: dict[str, str] = {}
