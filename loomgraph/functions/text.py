@@ -63,9 +63,9 @@ def merge_ignore(extra: list[str]) -> list[str]:
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
-    """1 - cosine of two vectors, in double precision."""
+    """1 - cosine of two vectors, in double precision; a vector of zeros has the distance 1 to all."""
 
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
-    return 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return 1 - F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
