@@ -323,6 +323,8 @@ def classes(text: str, language: str) -> list[str]:
 #: Brackets by class: which kind, and whether one opens (1) or closes (-1).
 BRACKETS = {"(": (1, 1), ")": (1, -1), ")f": (1, -1), ")c": (1, -1), "[": (2, 1), "]": (2, -1), "{": (3, 1), "}": (3, -1), "}i": (3, -1), "TPL<": (4, 1), "TPL>": (4, -1), "TAG<": (5, 1), "TAG>": (5, -1)}
 
+#: Files whose tokens are handed on together.
+FILES_AT_A_TIME = 256
 _TOKENS = "row long, file_id long, language int, pos int, before int, class int, bracket int, step int"
 
 
@@ -338,7 +340,7 @@ def token_rows(files: DataFrame) -> DataFrame:
         bad = number["bad"]
         brackets = {c: BRACKETS.get(c[1:] if c[0] == "+" and c[1:] in BRACKETS else c, (0, 0)) for c in number}
         plain = {c: number.get(c[1:] if c[0] == "+" and c[1:] in number and len(c) > 1 and c not in ES_OPS else c, bad) for c in number}
-        for batch in batches:
+        for batch in (whole.iloc[k : k + FILES_AT_A_TIME] for whole in batches for k in range(0, len(whole), FILES_AT_A_TIME)):
             parts = []
             for row, file, path, text in zip(batch["row"], batch["file_id"], batch["path"], batch["content"]):
                 language = language_of(path)
