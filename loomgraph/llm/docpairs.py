@@ -49,7 +49,7 @@ class Source:
         self.comments: dict[int, list[tuple[int, str]]] = {}  # by last line: (first line, text), of comments alone on their lines
         occupied: set[int] = set()
         for kind, token, start in self.tokens:
-            if kind not in ("nl", "nl:", "in", "out") and token:
+            if kind not in ("nl", "nl:", "nl@", "in", "out") and token:
                 occupied.update(range(self.line(start), self.line(start + len(token) - 1) + 1))
         for kind, token, start in everything:
             if kind == "com":
@@ -243,7 +243,7 @@ def py_functions(source: Source) -> list[Function]:
             blocks.append((opener, owner))
         elif kind == "out" and blocks:
             blocks.pop()
-        elif kind == "id" and token in ("def", "class") and (k == 0 or tokens[k - 1][0] in ("nl", "nl:", "in", "out") or tokens[k - 1][1] in ("async", ";", ":")):
+        elif kind == "id" and token in ("def", "class") and (k == 0 or tokens[k - 1][0] in ("nl", "nl:", "nl@", "in", "out") or tokens[k - 1][1] in ("async", ";", ":")):
             opener, owner = token, tokens[k + 1][1] if k + 1 < n else ""
             if token == "class" or k + 1 >= n:
                 continue
@@ -272,7 +272,7 @@ def py_functions(source: Source) -> list[Function]:
         elif kind in ("nl:",):
             first_word = ""
             j = k - 1
-            while j >= 0 and tokens[j][0] not in ("nl", "nl:", "in", "out"):
+            while j >= 0 and tokens[j][0] not in ("nl", "nl:", "nl@", "in", "out"):
                 first_word = tokens[j][1] if tokens[j][1] != "async" else first_word
                 j -= 1
             opener = first_word
@@ -288,7 +288,7 @@ def _end_of_block(source: Source, tokens: list[Token], at: int) -> int:
             depth -= 1
             if depth <= 0:
                 break
-        elif kind not in ("nl", "nl:"):
+        elif kind not in ("nl", "nl:", "nl@"):
             last = start + len(token) - 1
     return source.line(max(last, 0))
 

@@ -168,7 +168,9 @@ def _lex_py(text: str) -> list[Token]:
                 line_end = "nl"
                 if out and opener and _last(out) == ":":
                     line_end = "nl:"
-                elif first in _BLOCKS and first not in ("match", "case", "async") and ":" not in tested:
+                elif first == "@":
+                    line_end = "nl@"
+                elif first in _BLOCKS and first not in ("match", "case") and ":" not in tested:
                     line_end = "bad"
                 out.append((line_end, "\n", start))
                 fresh = True
@@ -184,13 +186,13 @@ def _lex_py(text: str) -> list[Token]:
                 indents.append((column, opener if out[-2:-1] and out[-2][0] in ("nl:", "com") else ""))
             while column < indents[-1][0]:
                 closed = indents.pop()[1]
-                ok = column >= indents[-1][0]
-                if closed == "try" and not (column == indents[-1][0] and token in ("except", "finally")):
+                ok = column <= indents[-1][0]
+                if closed == "try" and not (column == indents[-1][0] and token in ("except", "finally")):  # a try needs its sequel
                     ok = False
-                out.append(("out" if ok or column < indents[-1][0] and closed != "try" else "bad", "", start))
+                out.append(("out" if ok else "bad", "", start))
             if token in ("else", "elif", "except", "finally") and not closed and kind == "id" and not (out and _last(out) == ":"):
                 out.append(("bad", token, start))
-            fresh, first, opener, tested = False, token if kind == "id" else "", "", ""
+            fresh, first, opener, tested = False, token if kind == "id" or token == "@" else "", "", ""
             if kind == "id" and token in _BLOCKS:
                 opener = token
         if kind == "op":
@@ -205,7 +207,7 @@ def _lex_py(text: str) -> list[Token]:
             break
         out.append((kind, token, start))
     if not fresh:
-        out.append(("nl:" if opener and _last(out) == ":" else "bad" if first in _BLOCKS and first not in ("match", "case", "async") and ":" not in tested else "nl", "", size))
+        out.append(("nl:" if opener and _last(out) == ":" else "nl@" if first == "@" else "bad" if first in _BLOCKS and first not in ("match", "case") and ":" not in tested else "nl", "", size))
     while len(indents) > 1:
         out.append(("bad" if indents.pop()[1] == "try" else "out", "", size))
     return out

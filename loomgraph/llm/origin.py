@@ -71,7 +71,7 @@ def head_lines(tokens: list[Token]) -> list[str]:
                 line = re.sub(r"\s*\*+/\s*$", "", re.sub(r"^\s*(?:/\*+!?|\*+|//+!?|#+!?)?\s*", "", line)).strip()
                 if line:
                     out.append(line)
-        elif kind not in ("nl", "nl:"):
+        elif kind not in ("nl", "nl:", "nl@"):
             break
     return out
 
@@ -94,7 +94,7 @@ def layout(text: str, tokens: list[Token], language: str) -> dict[str, float]:
     bodies = [line for line in text.splitlines() if line.strip()]
     canonical = 1 + sum(kind == "op" and token in ("{", "}", ";") for kind, token, _ in real)
     if language in ("py", "go"):
-        canonical = max(1, sum(kind in ("nl", "nl:") for kind, _, _ in tokens) if language == "py" else canonical)
+        canonical = max(1, sum(kind in ("nl", "nl:", "nl@") for kind, _, _ in tokens) if language == "py" else canonical)
     literals = sum(len(token) for kind, token, _ in real if kind in ("num", "str", "tpl"))
     names = sum(len(token) for kind, token, _ in real if kind == "id")
     shapes = Counter(statements(tokens, language))
@@ -121,7 +121,7 @@ def statements(tokens: list[Token], language: str) -> Iterator[tuple]:
                 indent += 1
             elif kind == "out":
                 indent -= 1
-            elif kind in ("nl", "nl:"):
+            elif kind in ("nl", "nl:", "nl@"):
                 shape.append("/")
             elif kind != "com":
                 depth += {"(": 1, "[": 1, "{": 1, ")": -1, "]": -1, "}": -1}.get(token, 0) if kind == "op" else 0

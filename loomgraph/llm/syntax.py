@@ -114,7 +114,7 @@ def plain_classes(tokens: list[tuple[str, str, int]], language: str) -> list[str
         elif kind == "nl":
             c = "NL0" if language == "go" and depth <= 0 else "NL"
         else:
-            c = {"num": "NUM", "str": "STR", "nl:": "NL:", "in": "IN", "out": "OUT"}.get(kind, "bad")
+            c = {"num": "NUM", "str": "STR", "nl:": "NL:", "nl@": "NL@", "in": "IN", "out": "OUT"}.get(kind, "bad")
         out.append(c)
         prev = c
     out.append("EOF")
@@ -143,7 +143,7 @@ def es_pairs(typed: bool, markup: bool) -> set[tuple[str, str]]:
     everything = follow | begin | statement | {"else", "catch", "finally", "FROM", "NAME", "TXT", "TAG>"}
     allow({"BOF"}, begin | statement | {";", "EOF"})
     allow(operand_end - {")", "]", "}", "NAME", "CTX"}, follow | {"(", "[", "{", "TPL", "TPL<", "++", "--"}, begin | statement | {"*"})
-    pairs.difference_update({(p, f + n) for p in ("NUM", "STR", "RE") for n in ("(", "TPL", "TPL<") + (() if typed else ("{",)) for f in ("",)})
+    pairs.difference_update((p, n) for p in ("NUM", "STR", "RE") for n in ("(", "TPL", "TPL<") + (() if typed else ("{",)) if (p, n) != ("STR", "("))
     allow({"ID", "CTX", "STR", "]"}, {"FROM"})
     allow({"]"}, follow | {"(", "[", "{", "TPL", "TPL<", "++", "--"}, begin | statement | {"*", "else"})
     allow({")", "}"}, everything | {"*", "++", "--"})
@@ -214,7 +214,7 @@ def py_pairs() -> set[tuple[str, str]]:
         pairs.update((p, n) for p in prevs for n in nexts)
 
     allow({"BOF"}, begin | statement | {"@", "EOF", "NL", "*"})
-    allow(operand_end - {"NAME"}, binary | close | words | {".", ";", "NL", "NL:", "[", "@", "@="})
+    allow(operand_end - {"NAME"}, binary | close | words | {".", ";", "NL", "NL:", "NL@", "[", "@", "@="})
     allow({"ID", "SOFT", ")", "]", "NAME"}, {"("})
     allow({"NAME"}, {":", "["})
     allow({"STR"}, {"STR"})
@@ -235,6 +235,7 @@ def py_pairs() -> set[tuple[str, str]]:
     allow({"NL", "OUT", "IN"}, begin | statement | {"@", "*"})
     allow({"NL", "OUT"}, {"OUT", "EOF", "NL"} | again)
     allow({"NL:"}, {"IN"})
+    allow({"NL@"}, {"def", "class", "async", "@"})
     allow({"def"}, {"NAME", "SOFT"})
     allow({"class"}, {"NAME", "SOFT"})
     allow({"import"}, {"ID", "SOFT", "*", "("})
