@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
-from loomgraph.operators import chunker, codegraph, identity, knn, linker, memory
+from loomgraph.operators import chunker, codegraph, identity, ingest, knn, linker, memory, typescript
 from loomgraph.plans.lineage import cut
 from loomgraph.sources.tables import table
 
@@ -413,3 +413,64 @@ def analyze_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "chunks", "graph").groupBy("graph").agg(F.count(F.lit(1)).alias("chunks"))
     runs = table(spark, sf_dir, "analyze_runs", "graph", "files").groupBy("graph").agg(F.max("files").alias("reported_files"))
     return files.join(entities, "graph", "left").join(chunks, "graph", "left").join(runs, "graph", "left")
+
+
+# --- TypeScript sources -------------------------------------------------------------------------
+
+
+@query()
+def ts_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return typescript.entities(table(spark, sf_dir, "files", "graph", "id", "path", "content"))
+
+
+@query()
+def ts_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return typescript.references(table(spark, sf_dir, "files", "graph", "id", "path", "content"))
+
+
+def _named_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Entities with ids, and the edges to what the same graph declares under the name that is referred to (first by path)."""
+    files = table(spark, sf_dir, "files", "graph", "id", "path", "content")
+    found = typescript.entities(files).withColumn("entity_id", F.col("file_id") * 100_000 + F.col("ord"))
+    places = found.groupBy("graph", "name").agg(F.min(F.struct("path", "src_start")).alias("at")).select("graph", "name", F.col("at.path").alias("target_path"), F.col("at.src_start").alias("target_line"))
+    references = typescript.references(files)
+    definitions = references.join(places, ["graph", "name"]).select("graph", "path", "line", "col", "target_path", "target_line").distinct()
+    return found, typescript.edges(references, definitions, found)
+
+
+@query()
+def ts_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named_edges(spark, sf_dir)[1]
+
+
+@query()
+def ts_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, edges = _named_edges(spark, sf_dir)
+    backwards = cut(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct())
+    return codegraph.reach(backwards, found.select(F.col("entity_id").alias("id")), 3, cut).groupBy(F.col("start").alias("entity_id")).agg(F.count(F.lit(1)).alias("reached"), F.max("hops").alias("hops"))
+
+
+@query(r"""with f as (select distinct graph, path from files where regexp_matches(path, '\.tsx?$')),
+e as (select distinct graph, path, id, label, name, parent_name from entities)
+select e.graph, e.label, count(*) entities, count(distinct e.path) files, count(*) filter (coalesce(e.parent_name, '') <> '') nested
+from e join f on f.graph = e.graph and f.path = e.path group by e.graph, e.label""")
+def entity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "files", "graph", "path").filter(F.col("path").rlike(r"\.tsx?\z")).distinct()
+    rows = table(spark, sf_dir, "entities", "graph", "path", "id", "label", "name", "parent_name").distinct()
+    joined = rows.join(files, ["graph", "path"], "left_semi")
+    return joined.groupBy("graph", "label").agg(F.count(F.lit(1)).alias("entities"), F.countDistinct("path").alias("files"), F.count_if(F.coalesce("parent_name", F.lit("")) != "").alias("nested"))
+
+
+@query(f"""with {_EDGES} select c.graph, c.id from chunks c where {_LIVE.replace('orphaned_at', 'c.orphaned_at')} and not exists (select 1 from d where d.graph = c.graph and d.chunk_id = c.id)""")
+def chunks_linked_to_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "chunks", "graph", "id", "content", "orphaned_at")
+    edges = linker.link(chunks, table(spark, sf_dir, "entities", "graph", "id", "name"))
+    live = chunks.filter(F.coalesce("orphaned_at", F.lit(0)) == 0).select("graph", "id")
+    return live.join(edges.select("graph", F.col("chunk_id").alias("id")), ["graph", "id"], "left_anti")
+
+
+@query()
+def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "path", "text", "received_at").filter("path is not null and text is not null")
+    latest = docs.groupBy(F.col("path").alias("source")).agg(F.max_by("text", F.struct("received_at", "text")).alias("text"))
+    return ingest.reingest(spark.createDataFrame([], ingest.CHUNKS), latest, NOW_MS, cut)[0]
