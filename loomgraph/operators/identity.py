@@ -1,10 +1,11 @@
 """Carrying chunk identities over a re-ingest: which stored row each new chunk is."""
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import anchor_id, content_hash
+from loomgraph.plans.lineage import cut
 
 MATCHES = "source string, new_id long, id long, action string, ambiguous array<long>"
 
@@ -40,8 +41,9 @@ def match(existing: DataFrame, new: DataFrame) -> DataFrame:
     ``updated``; else a row of the same content under another anchor is ``renamed``, the one with
     the longest common trail of headings, then the lowest id, and the other candidates are
     ``ambiguous``; else the chunk is ``created`` and ``id`` is null.  Sources that ``match_unchanged``
-    decides whole never reach Python.  Null sources are left out; a source's chunks, some
-    thousands at most, are decided together.
+    decides whole never reach Python.  Null sources are left out.  The others are decided in
+    groups of chunks and rows that can get in each other's way, see ``entangled``, so that a large
+    source is no single task.
     """
     columns = ["source", "id", "anchor_id", "content_hash", "breadcrumb"]
     fresh = new.select(*[F.col(c).alias(c) for c in columns]).filter("source is not null")
@@ -52,10 +54,39 @@ def match(existing: DataFrame, new: DataFrame) -> DataFrame:
     fast = simple.join(whole, "source", "left_semi").select("source", "new_id", "id", F.lit("unchanged").alias("action"), F.array().cast("array<long>").alias("ambiguous"))
     rest = fresh.join(whole, "source", "left_anti")
     kept = existing.join(rest.select("source").distinct(), "source", "left_semi")
-    slow = rest.toDF(*columns).groupBy("source").cogroup(kept.toDF(*columns).groupBy("source")).applyInPandas(_greedy, MATCHES)
+    groups = entangled(rest.select("source", *_place()).unionByName(kept.select("source", *_place())))
+    grouped = ["source", "place", "id", "anchor_id", "content_hash", "breadcrumb", "group"]
+    rest, kept = (side.toDF(*columns).withColumn("place", _place()[0]).join(groups, ["source", "place"]).select(*grouped).toDF(*grouped) for side in (rest, kept))
+    slow = rest.groupBy("source", "group").cogroup(kept.groupBy("source", "group")).applyInPandas(_greedy, MATCHES)
     return fast.unionByName(slow)
 
 
+def _place() -> list[Column]:
+    """What a chunk can be matched by: its anchor (or its content alone, if it has none), and its content."""
+    own = F.when(F.coalesce("anchor_id", F.lit("")) != "", F.col("anchor_id")).otherwise(F.concat(F.lit("="), F.coalesce("content_hash", F.lit(""))))
+    same = F.when(F.coalesce("content_hash", F.lit("")) != "", F.col("content_hash")).otherwise(F.concat(F.lit("@"), own))
+    return [own.alias("place"), same.alias("passage")]
+
+
+def entangled(chunks: DataFrame) -> DataFrame:
+    """``(source, place, group)``: places of a source that share contents, directly or through others, have one group.
+
+    Only such chunks can take a row from each other.  Groups spread from place to place through
+    equal contents, the lowest place naming the group, until nothing changes: as many rounds as the
+    longest chain of moved contents, which is a few.
+    """
+    known = cut(chunks.distinct())
+    labels = known.select("source", "place").distinct().withColumn("group", F.col("place"))
+    while True:
+        lowest = known.join(labels, ["source", "place"]).groupBy("source", "passage").agg(F.min("group").alias("group"))
+        spread = known.join(lowest, ["source", "passage"]).groupBy("source", "place").agg(F.min("group").alias("spread"))
+        step = cut(labels.join(spread, ["source", "place"]).withColumn("group", F.least("group", "spread")))
+        changed = step.join(labels.withColumnRenamed("group", "before"), ["source", "place"]).filter("group != before")
+        labels, done = step.select("source", "place", "group"), changed.isEmpty()
+        if done:
+            return labels
+
+
 def _common(a: str | None, b: str | None) -> int:
     n = 0
     for x, y in zip((a or "").split(" > "), (b or "").split(" > ")):

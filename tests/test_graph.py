@@ -58,10 +58,10 @@ def test_nearest_one(spark):
 
 
 def test_facts(spark):
-    df = spark.createDataFrame([("g", 2, "FalkorDB", "is_a", "graph database", 5), ("g", 1, "FalkorDB", "is_a", "graph database", 9), ("g", 3, "FalkorDB", "supports", "vector search", 1), ("g", 4, "Redis", "is_a", None, 1)], "graph string, id long, subject string, predicate string, object string, created_at long")
+    df = spark.createDataFrame([("g", 2, "ledger gateway", "is_a", "graph database", 5), ("g", 1, "ledger gateway", "is_a", "graph database", 9), ("g", 3, "ledger gateway", "supports", "vector search", 1), ("g", 4, "index store", "is_a", None, 1)], "graph string, id long, subject string, predicate string, object string, created_at long")
     merged = memory.merge_facts(df)
     assert rows(merged, "id", "created_at", "deliveries") == [(1, 5, 2), (3, 1, 1), (4, 1, 1)]
-    assert [r.id for r in memory.search_facts(merged, subject="FalkorDB").collect()] == [1, 3]
+    assert [r.id for r in memory.search_facts(merged, subject="ledger gateway").collect()] == [1, 3]
     assert memory.search_facts(merged, subject="Nobody").count() == 0
 
 
