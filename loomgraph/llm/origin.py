@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.lexing import Token, language_of, lex
+from loomgraph.functions.lexing import Token, language_of, lex
 
 #: Folders of other people's code, and of what tools make.
 VENDOR_DIRS = frozenset("vendor vendored _vendor third_party third-party thirdparty 3rdparty 3rd_party extern external externals node_modules bower_components jspm_packages web_modules site-packages dist-packages .venv venv virtualenv deps godeps pods carthage .yarn".split())
@@ -31,7 +31,7 @@ VENDORED_NOTE = re.compile(
 )
 BUILT_NOTE = re.compile(r"[\w.@/-]+ v?\d+\.\d+(?:\.\d+)?\S* \| built\b|bundled by\b|webpackbootstrap|minified (?:by|with|using)\b", re.I)
 #: Endings that tools give to the names of what they make.
-MADE_NAME = re.compile(r"(?:\.min|[.-]bundle|\.chunk|\.generated|_generated|\.gen|_gen|\.g|\.pb|_pb|_pb2|_pb2_grpc|\.pb\.gw|_grpc_pb|_string|_autogen|\.designer|_packed|\.packed|-min)\.[A-Za-z]+$|\.[0-9a-f]{8,}\.(?:chunk\.)?[A-Za-z]+$")
+MADE_NAME = re.compile(r"(?:\.min|\.bundle|\.chunk|\.generated|_generated|\.gen|_gen|\.g|\.pb|_pb|_pb2|_pb2_grpc|\.pb\.gw|_grpc_pb|_string|_autogen|\.designer|_packed|\.packed|-min)\.[A-Za-z]+$|\.[0-9a-f]{8,}\.(?:chunk\.)?[A-Za-z]+$")
 #: A name with the version of a release, as copies of libraries have.
 VERSION_NAME = re.compile(r"^[A-Za-z][\w-]*?[._-]v?\d+\.\d+\.\d+\.[A-Za-z]+$")
 

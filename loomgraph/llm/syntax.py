@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.lexing import GO_WORDS, LANGUAGES, language_of, lex
+from loomgraph.functions.lexing import GO_WORDS, LANGUAGES, language_of, lex
 
 # --- classes of tokens -------------------------------------------------------------------------
 
