@@ -119,6 +119,7 @@ class Canon:
         if self.forms:
             self.automaton.make_automaton()
         self.listed = list(self.forms)
+        self.joined = [form.replace(" ", "") for form in self.listed]
         self.bags = np.array([self.bag(form) for form in self.listed], np.int16).reshape(-1, 27)
         self.lengths = self.bags.sum(1)
 
@@ -148,15 +149,22 @@ class Canon:
         """The entry whose form's token set is most like ``tokens``, if it is like enough."""
         joined = "".join(tokens)
         bag = np.array(self.bag(joined), np.int16)
-        # each edit changes the bags of letters by two at most, so this loses nothing
-        allowed = ((1 - LEAST_SIMILARITY) * np.maximum(self.lengths, len(joined))).astype(np.int16)
-        near = np.nonzero(np.maximum((self.bags - bag).clip(0).sum(1), (bag - self.bags).clip(0).sum(1)) <= allowed)[0]
+        # each edit changes the bags of letters by two at most, so no form that this leaves out can be like enough
+        wholes = np.maximum(self.lengths, len(joined))
+        allowed = ((1 - LEAST_SIMILARITY) * wholes).astype(np.int16)
+        near = np.nonzero(np.abs(self.lengths - len(joined)) <= allowed)[0]
+        difference = self.bags[near] - bag
+        least = np.maximum(np.maximum(difference, 0).sum(1), np.maximum(-difference, 0).sum(1))
+        kept = least <= allowed[near]
+        near, bound = near[kept], 1 - least[kept] / wholes[near[kept]]
         best = (0.0, 0)
-        for k in near.tolist():
-            form = self.listed[k]
-            whole = max(len(joined), int(self.lengths[k]))
-            most = int(allowed[k])
-            cost = edits(joined, form.replace(" ", ""), most)
+        for k in np.argsort(-bound, kind="stable").tolist():
+            if bound[k] < best[0]:
+                break  # nor can any of the rest be more like it than what was found
+            form = self.listed[near[k]]
+            whole = int(wholes[near[k]])
+            most = min(int(allowed[near[k]]), int((1 - best[0]) * whole))
+            cost = edits(joined, self.joined[near[k]], most)
             if cost > 1 and len(tokens) > 1 and " " in form:
                 cost = min(cost, token_set_cost(tokens, form.split(), most))
             score = 1 - cost / whole
