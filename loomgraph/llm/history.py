@@ -4,8 +4,9 @@ The accepted history is a list of immutable segments, one for each batch, each a
 the batch's concatenated texts in distributed form: suffixes begin at words, are ordered by the
 words they begin with, and are laid out in buckets of that order's key, so that a probe of a batch
 reads the index where it lies and shuffles only the batch.  Long matches are found by that key
-(seven words) and, where a key is common, by twelve words; matches are added up to a coverage for
-each pair of records, and pairs with enough of it are compared word by word.  A segment
+(six words); matches are added up to a coverage for each pair of records, and pairs with enough of
+it are compared word by word.  Where a key is common, the lowest records that share twelve words are
+met first, and then all others that could still change a record's result, spread over blocks.  A segment
 is merged with the one before it unless that is twice as large, so a record is rewritten a
 logarithmic number of times.
 
@@ -27,13 +28,13 @@ from loomgraph.llm.leakage import normal_words
 from loomgraph.plans.lineage import shared_dir
 
 #: Words by which a suffix is ordered first, and by which it is told from others of a common key.
-SHORT, LONG = 7, 12
+SHORT, LONG = 6, 12
 #: One place in so many is kept, and the lowest of a text in any case; of texts with fewer words
 #: than the second number half of all places, and of those with fewer than the third, all.
-SPARSE, SHORT_TEXT, TINY_TEXT = 6, 80, 40
-#: A key with more records than this is common: its matches need ``LONG`` words.  Of records that
-#: share even those, which are copies of a passage, the lowest ``COMMON`` ids stand for all.
-COMMON = 8
+SPARSE, SHORT_TEXT, TINY_TEXT = 5, 80, 40
+#: A key with more records than this is common: first the lowest ``COMMON`` ids that share ``LONG``
+#: words are met, then the others in blocks of about ``BLOCK`` records.
+COMMON, BLOCK = 8, 4_000
 #: Shared places from which a pair is compared (one, where it is of ``LONG`` words or where a text has fewer than ``FEW``), and the
 #: share of word pairs from which it is a repeat.
 LEAST_SHARED, FEW, LEAST_LIKE = 2, 5, 0.7
@@ -118,6 +119,38 @@ def likeness(a: str, b: str) -> float:
     return 2 * sum((Counter(x) & Counter(y)).values()) / total if total else 0.0
 
 
+class Likeness:
+    """Tells texts alike as ``likeness`` does, with the word pairs of the texts met last kept as sets of numbers.
+
+    The n-th equal pair of a text has a number of its own, so sets intersect as multisets do.
+    """
+
+    def __init__(self):
+        self.numbers: dict[tuple, int] = {}
+        self.sets: dict[str, set[int] | None] = {}
+
+    def pairs(self, text: str) -> set[int] | None:
+        if text not in self.sets:
+            if len(self.sets) > 5_000:
+                self.sets.clear()
+                self.numbers.clear()
+            words, seen, out = normal_words(text), Counter(), set()
+            for pair in zip(words, words[1:]):
+                seen[pair] += 1
+                out.add(self.numbers.setdefault((*pair, seen[pair]), len(self.numbers)))
+            self.sets[text] = out or None
+        return self.sets[text]
+
+    def alike(self, a: str, b: str) -> bool:
+        y, x = self.pairs(b), self.pairs(a)
+        if self.sets.get(b) is not y:  # forgotten meanwhile, and its numbers with it
+            y = self.pairs(b)
+        if x is None or y is None:  # shorter than two words
+            return likeness(a, b) >= LEAST_LIKE
+        total = len(x) + len(y)
+        return 2 * min(len(x), len(y)) / total >= LEAST_LIKE and 2 * len(x & y) / total >= LEAST_LIKE
+
+
 class History:
     """The accepted records as suffix segments in the shared folder.
 
@@ -144,7 +177,7 @@ class History:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _add_segment(self, keys: DataFrame, size: int | None) -> None:
-        """Adds ``keys`` as a segment: by key, each with whether it is common.
+        """Adds ``keys`` as a segment: by key, each with how many records have the key (``size``) and its place among those that share ``LONG`` words.
 
         The last segment is merged into it as long as that is less than twice as large, so sizes
         fall by halves and a record is rewritten a logarithmic number of times.
@@ -161,9 +194,7 @@ class History:
             .withColumn("nth", F.row_number().over(by_long.partitionBy("short", "long", "whole")))
             .filter("nth = 1")
             .withColumn("nth", F.row_number().over(by_long))
-            .filter(F.col("nth") <= COMMON)
-            .withColumn("common", F.count(F.lit(1)).over(by_key) > COMMON)
-            .drop("nth")
+            .withColumn("size", F.count(F.lit(1)).over(by_key).cast("int"))
         )
         name = f"segment_{uuid.uuid4().hex}"
         laid.write.bucketBy(self.buckets, "short").sortBy("short").option("path", self._new()).saveAsTable(name)
@@ -177,22 +208,43 @@ class History:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     def _matches(self, keys: DataFrame, segment: DataFrame) -> DataFrame:
-        old = segment.select(F.col("id").alias("kept_id"), "short", F.col("long").alias("kept_long"), F.col("few").alias("kept_few"), "common")
+        """Matches by keys that aren't common, and of the common ones those with the lowest records that share ``LONG`` words."""
+        old = segment.select(F.col("id").alias("kept_id"), "short", F.col("long").alias("kept_long"), F.col("few").alias("kept_few"), "nth", "size")
         return (
             old.join(keys.hint("shuffle_hash"), "short")
-            .filter("kept_id < id and (not common or long = kept_long)")
+            .filter(F.col("kept_id") < F.col("id"))
+            .filter((F.col("size") <= COMMON) | (F.col("nth") <= COMMON) & (F.col("long") == F.col("kept_long")))
             .select("kept_id", "id", (F.col("few") | F.col("kept_few")).alias("few"), (F.col("long") == F.col("kept_long")).alias("long"))
         )
 
-    def _repeats(self, keys: DataFrame, records: DataFrame) -> DataFrame:
-        """``(kept_id, id)`` of every record that is like a lower record of the history or of its own batch."""
-        found = None
-        for _, name in self.segments:
-            part = self._matches(keys, self.spark.table(name))
-            found = part if found is None else found.unionByName(part)
-        pairs = found.groupBy("kept_id", "id").agg(F.sum(F.when(F.col("long"), LEAST_SHARED).otherwise(1)).alias("shared"), F.max("few").alias("few"))
-        pairs = pairs.filter((F.col("shared") >= LEAST_SHARED) | F.col("few")).select("kept_id", "id")
-        pairs = self._write(pairs.join(self.cases.select(F.col("chunk_id").alias("kept_id")), "kept_id", "left_anti"))
+    def _common_matches(self, keys: DataFrame, segment: DataFrame) -> DataFrame:
+        """The matches that ``_matches`` leaves out.  ``keys`` have the ``bound`` below which a record's matches count.
+
+        The records of a key are dealt to blocks by their ids, and each key of the batch goes to all
+        of its blocks, so that no task has a key to itself.
+        """
+        common = segment.filter(F.col("size") > COMMON)
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        old = common.select(F.col("id").alias("kept_id"), "short", F.col("long").alias("kept_long"), F.col("few").alias("kept_few"), "nth", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+        sizes = common.groupBy("short").agg(F.first("size").alias("size"))
+        spread = keys.join(sizes, "short").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("size")
+        same = F.col("long") == F.col("kept_long")
+        return (
+            old.join(spread, ["short", "block"])
+            .filter(F.col("kept_id") < F.col("bound"))
+            .filter(~same | (F.col("nth") > COMMON))
+            .select("kept_id", "id", (F.col("few") | F.col("kept_few")).alias("few"), same.alias("long"))
+        )
+
+    def _counted(self, matches: list[DataFrame]) -> DataFrame:
+        """``(kept_id, id, shared, few)`` of every pair."""
+        found = matches[0]
+        for part in matches[1:]:
+            found = found.unionByName(part)
+        return found.groupBy("kept_id", "id").agg(F.sum(F.when(F.col("long"), LEAST_SHARED).otherwise(1)).alias("shared"), F.max("few").alias("few"))
+
+    def _like(self, pairs: DataFrame, records: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (written) whose texts are alike."""
         few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
         sent = F.broadcast(pairs) if few else pairs
         kept = self.texts.select(F.col("id").alias("kept_id"), F.col("content").alias("kept_content")).join(sent, "kept_id")
@@ -202,12 +254,35 @@ class History:
             both = kept.join(records.select("id", "content"), "id")
 
         def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            texts = Likeness()
             for batch in batches:
-                like = [likeness(a, b) >= LEAST_LIKE for a, b in zip(batch["kept_content"], batch["content"])]
+                like = [texts.alike(a, b) for a, b in zip(batch["kept_content"], batch["content"])]
                 yield batch.loc[like, ["kept_id", "id"]]
 
         return both.select("kept_id", "kept_content", "id", "content").mapInPandas(compare, "kept_id long, id long")
 
+    def _repeats(self, keys: DataFrame, inside: DataFrame, records: DataFrame) -> DataFrame:
+        """``(kept_id, id)`` of every record that is like a lower record of the history or of its own batch (``inside``).
+
+        Of a record that is like one of the history, pairs above the lowest of those can be missing:
+        it is a case of that one or of a lower one.
+        """
+        tables = [self.spark.table(name) for _, name in self.segments]
+        enough = (F.col("shared") >= LEAST_SHARED) | F.col("few")
+        counts = self._write(self._counted([self._matches(keys, table) for table in tables]))
+        cases = self.cases.select(F.col("chunk_id").alias("kept_id"))
+        first = self._write(counts.filter(enough).select("kept_id", "id").join(cases, "kept_id", "left_anti"))
+        like = self._write(self._like(first, records))
+        known = self._write(like.join(inside, "kept_id", "left_anti").groupBy("id").agg(F.min("kept_id").alias("bound")))
+        bounded = keys.join(known, "id", "left").withColumn("bound", F.coalesce("bound", "id"))
+        others = self._counted([self._common_matches(bounded, table) for table in tables])
+        others = others.join(cases.unionByName(known.select(F.col("id").alias("kept_id"))), "kept_id", "left_anti")
+        before = counts.select("kept_id", "id", F.col("shared").alias("before"), F.col("few").alias("was_few"))
+        others = others.join(before, ["kept_id", "id"], "left").withColumn("shared", F.col("shared") + F.coalesce("before", F.lit(0)))
+        compared = F.coalesce((F.col("before") >= LEAST_SHARED) | F.col("was_few"), F.lit(False))
+        others = self._write(others.filter(enough & ~compared).select("kept_id", "id"))
+        return like if others.isEmpty() else like.unionByName(self._like(others, records))
+
     def add_batch(self, records: DataFrame | None, keys: DataFrame, size: int | None) -> None:
         """Adds a batch by its ``size`` suffix keys and its texts.  Without texts all of it is accepted; else its cases join ``self.cases``, ``(kept_id, chunk_id)``.
 
@@ -219,8 +294,8 @@ class History:
         self._add_segment(keys, size)
         if records is None:
             return
-        pairs = self._write(self._repeats(keys, records))
         inside = keys.select(F.col("id").alias("kept_id")).distinct()
+        pairs = self._write(self._repeats(keys, inside, records))
         within = self._write(pairs.join(inside, "kept_id", "left_semi"))
         outside = pairs.join(within, ["kept_id", "id"], "left_anti")
         cases = outside.groupBy("id").agg(F.min("kept_id").alias("kept_id")).select("kept_id", F.col("id").alias("chunk_id"))

@@ -78,3 +78,27 @@ def test_a_chunk_that_repeats_only_a_case_is_no_case_of_it(spark):
     c = passage(rng, 16) + a[16:82] + b[82:]
     data = [(1, 0, " ".join(a), 0), (2, 1, " ".join(b), 0), (3, 1, " ".join(c), 0)]
     assert rows(history.found(spark.createDataFrame(data, SCHEMA))) == sorted(brute(data), key=str)
+
+
+def test_a_repeat_whose_unchanged_places_are_all_common(spark):
+    rng = random.Random(11)
+    template, own = passage(rng), [passage(rng, 30) for _ in range(30)]
+
+    def each(words, n):
+        return [f"z{rng.randint(0, 9999)}" if k % n == 0 else w for k, w in enumerate(words)]
+
+    data = [(k + 1, 0, " ".join(template + words), 0) for k, words in enumerate(own)]
+    data += [(101 + k, 1 + k % 2, " ".join(template + each(own[k], 5)), 0) for k in range(9, 30)]
+    data += [(201 + k, 3, " ".join(each(template, 11) + each(own[k], 5)), 0) for k in range(9, 30)]
+    want = brute(data)
+    assert len(want) == 42
+    got = rows(history.found(spark.createDataFrame(data, SCHEMA)))
+    assert not set(got) - set(want)
+    assert {c for c in want if c[1] < 200} <= set(got)
+    assert len(got) >= 36  # the last batch has no twelve words in a row of its originals; few places remain in some
+
+
+def test_alike_is_likeness():
+    rng, texts = random.Random(2), history.Likeness()
+    some = ["", "a", "a a", "a a a b", "a a b"] + [" ".join(rng.choice("abc") for _ in range(rng.randint(1, 30))) for _ in range(60)]
+    assert all(texts.alike(a, b) == (likeness(a, b) >= history.LEAST_LIKE) for a in some for b in some)
