@@ -338,6 +338,30 @@ def observations_with_optional_facts(spark: SparkSession, sf_dir: str) -> DataFr
     return joined.groupBy(F.col("id").alias("observation_id")).agg(F.nullif(F.array_join(F.array_sort(F.collect_list("object")), ","), F.lit("")).alias("facts"))
 
 
+# The three queries before look at a part of the events; these are the same over all of them.
+
+
+@query(f"with {_OBSERVED} select f.id fact_id, o.id observation_id, o.created_at from f join e on e.dst = f.id join o on o.id = e.src")
+def evidence_for_every_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    observations, facts, edges = memory.observe(table(spark, sf_dir, "events"))
+    return memory.evidence_for(observations, edges, facts)
+
+
+@query(f"with {_OBSERVED} select distinct f.* from f join e on e.dst = f.id join o on o.id = e.src")
+def facts_backed_by_any_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    observations, facts, edges = memory.observe(table(spark, sf_dir, "events"))
+    return memory.facts_backed_by(facts, edges, observations)
+
+
+@query(f"""with {_OBSERVED} select o.id observation_id, array_to_string(list_sort(list(f.object) filter (f.object is not null)), ',') facts
+from o left join e on e.src = o.id left join f on f.id = e.dst group by o.id""")
+def observations_with_all_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    observations, facts, edges = memory.observe(table(spark, sf_dir, "events"))
+    stated = edges.join(facts.select(F.col("id").alias("dst"), "object"), "dst")
+    joined = observations.select("id").join(stated.withColumnRenamed("src", "id"), "id", "left")
+    return joined.groupBy(F.col("id").alias("observation_id")).agg(F.nullif(F.array_join(F.array_sort(F.collect_list("object")), ","), F.lit("")).alias("facts"))
+
+
 # --- code graph --------------------------------------------------------------------------------
 
 

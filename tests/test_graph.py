@@ -2,9 +2,11 @@ import math
 import random
 
 from conftest import rows
+from pyspark.sql import functions as F
 
 from loomgraph.operators import codegraph, knn, linker, memory
 from loomgraph.plans.lineage import cut
+from loomgraph.plans.queries import QUERIES
 
 
 def test_link(spark):
@@ -74,3 +76,15 @@ def test_evidence(spark):
     assert rows(memory.count_evidence(facts, edges)) == [(1, 2), (2, 1), (3, 0)]
     bad = spark.createDataFrame([(99, 1), (10, 98)], "src long, dst long")
     assert rows(memory.missing_endpoints(bad, observations, facts)) == [(98, "dst"), (99, "src")]
+
+
+def test_evidence_queries_cover_every_event(spark, tmp_path):
+    made = [(k, f"user{k % 7}", f"kind{k % 3}") for k in range(40)]
+    events = spark.createDataFrame([(k, k % 7, f"kind{k % 3}", "{}") for k, _, _ in made], "event_id long, user_id long, event_type string, props string")
+    events.withColumn("ts", F.timestamp_millis(F.col("event_id") * 1_000 + 1)).write.parquet(f"{tmp_path}/events.parquet")
+    first = {}
+    for k, subject, kind in made:
+        first.setdefault((subject, kind), k + 1)
+    assert rows(QUERIES["evidence_for_every_fact"](spark, str(tmp_path)), "fact_id", "observation_id") == sorted((first[s, kind], k + 1) for k, s, kind in made)
+    assert rows(QUERIES["facts_backed_by_any_observation"](spark, str(tmp_path)), "id") == sorted((n,) for n in first.values())
+    assert rows(QUERIES["observations_with_all_facts"](spark, str(tmp_path)), "observation_id", "facts") == [(k + 1, kind) for k, _, kind in made]
