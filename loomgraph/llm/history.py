@@ -1,22 +1,22 @@
 """Checking new batches for repeats of everything accepted before (problem 3).
 
-The accepted history is a list of immutable segments, one for each batch, each a suffix array over
-the batch's concatenated texts in distributed form: suffixes begin at words, are ordered by the
-words they begin with, and are laid out in buckets of that order's key, so that a probe of a batch
-reads the index where it lies and shuffles only the batch.  Long matches are found by that key
-(six words); matches are added up to a coverage for each pair of records, and pairs with enough of
-it are compared word by word.  Where a key is common, the lowest records that share twelve words are
-met first, and then all others that could still change a record's result, spread over blocks.  A segment
-is merged with the one before it unless that is twice as large, so a record is rewritten a
-logarithmic number of times.
-
-Suffixes are kept at content-defined places (a sparse suffix array): a place is kept or not by the
-hash of the words at it alone, so equal passages keep the same places wherever they stand.
+Each batch becomes an immutable segment: a suffix array over the batch's concatenated texts, in which
+suffixes begin at words and stand in the order of their words' codes.  A segment is cut at fixed
+fences into ranges, each one sorted block of numbers, and is bucketed by range, so that a batch's
+suffixes meet each older segment where it lies: nothing of the history is shuffled again.  In a
+range the batch's suffixes are looked up by binary search; the suffixes of the block that begin with
+the same ``SUFFIX_WORDS`` words are the matches.  The words that matches cover are added up for each
+pair of records, and pairs with enough of them are compared as wholes.  A segment is merged with the one
+before it unless that is twice as large, so a record is rewritten a logarithmic number of times.
+
+The array is sampled by minimizers (Grabowski and Raniszewski, 2015): of any ``WINDOW`` neighbouring
+suffixes the one of lowest hash is in it.  Equal passages of ``SUFFIX_WORDS + WINDOW - 1`` words are thus sampled
+alike wherever they stand, and none of them is missed.
 """
 
 import uuid
-from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -27,145 +27,191 @@ from pyspark.sql import functions as F
 from loomgraph.llm.leakage import normal_words
 from loomgraph.plans.lineage import shared_dir
 
-#: Words by which a suffix is ordered first, and by which it is told from others of a common key.
-SHORT, LONG = 6, 12
-#: One place in so many is kept, and the lowest of a text in any case; of texts with fewer words
-#: than the second number half of all places, and of those with fewer than the third, all.
-SPARSE, SHORT_TEXT, TINY_TEXT = 5, 80, 40
-#: A key with more records than this is common: first the lowest ``COMMON`` ids that share ``LONG``
-#: words are met, then the others in blocks of about ``BLOCK`` records.
-COMMON, BLOCK = 8, 4_000
-#: Shared places from which a pair is compared (one, where it is of ``LONG`` words or where a text has fewer than ``FEW``), and the
-#: share of word pairs from which it is a repeat.
-LEAST_SHARED, FEW, LEAST_LIKE = 2, 5, 0.7
+#: Words that a match has at least, and neighbouring suffixes of which one is sampled at least.
+SUFFIX_WORDS, WINDOW = 6, 5
+#: Texts of fewer words than this have all their suffixes in the array, too, matched by ``SHORT_WORDS`` words among such texts.
+SHORT_TEXT, SHORT_WORDS = 32, 3
+#: Share of a record's words that matches with another cover, from which the two are compared, and the share of word pairs
+#: they must then have in common to be repeats.
+LEAST_COVER, LEAST_LIKE = 0.2, 0.7
+#: Of more equal suffixes than this in one block the lowest ids are met first, and the others as far as they still can matter.
+HOT = 32
+#: Suffixes for which a segment has a bucket; a bucket has four ranges.
+BUCKET_PLACES = 1_000_000
+#: Records whose suffixes are sampled to lay the fences (this affects only how even the ranges are).
+FENCE_RECORDS = 4_000
 #: Pairs up to which the pairs of a batch are broadcast (16 bytes each).
 BROADCAST_PAIRS = 200_000
 
-_KEYS = "id long, short long, long int, whole int, few boolean, batch_no int"
+#: Shares of a text are counted in ten-thousandths.
+_ALL = 10_000
+_NEED = int(LEAST_COVER * _ALL)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_SHORT_KEYS, _WHOLE_KEYS = np.uint64(1 << 60), np.uint64(2 << 60)
+_RECORD = "id long, batch_no int, whole long, whole2 long, codes binary"
+_BLOCK = "range int, size long, keys binary, ids binary, shares binary, more_keys binary, more_ids binary, more_shares binary"
+_COLUMNS = _BLOCK.replace(",", "").split()[::2]
 
 
-def _rolled(codes: np.ndarray, size: int) -> np.ndarray:
-    """The hash of the ``size`` codes from each place on (of fewer at the end, where it isn't used)."""
-    total = np.zeros(len(codes), np.uint64)
-    for k in range(size):
-        total *= _MULTIPLIER
-        total[: len(codes) - k] += codes[k:]
-    total ^= total >> np.uint64(29)
-    total *= _MULTIPLIER
-    return total ^ (total >> np.uint64(32))
-
-
-def suffix_places(texts: list[list[str]], memo: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The kept places of concatenated texts: which text, and the hashes of the ``SHORT`` and ``LONG`` words that begin there.
-
-    The words of each text are followed by ``LONG`` end marks, so no hash takes in another text.
-    """
-    flat: list[int] = []
-    lengths = []
-    for words in texts:
-        for word in set(words).difference(memo):
-            memo[word] = xxhash.xxh64_intdigest(word)
-        flat.extend(map(memo.__getitem__, words))
-        flat.extend([0] * LONG)
-        lengths.append(len(words))
-    codes, sizes = np.array(flat, np.uint64), np.array(lengths, np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes + LONG)[:-1]]).astype(np.int64) if len(sizes) else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(sizes)), sizes + LONG)
-    inside = np.arange(len(codes)) - starts[owner] <= np.maximum(sizes - SHORT, 0)[owner]
-    inside &= sizes[owner] > 0
-    short, long = _rolled(codes, SHORT), _rolled(codes, LONG)
-    share = np.where(sizes < TINY_TEXT, SPARSE, np.where(sizes < SHORT_TEXT, SPARSE // 2, 1)).astype(np.uint64)
-    kept = inside & (short % np.uint64(SPARSE) < share[owner])
-    if len(sizes):
-        lowest = np.minimum.reduceat(np.where(inside, short, np.uint64(0xFFFFFFFFFFFFFFFF)), starts)
-        kept |= inside & (short == lowest[owner])
-    at = np.nonzero(kept)[0]
-    return owner[at], short[at].view(np.int64), (long[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-
-def keys_of(records: DataFrame) -> DataFrame:
-    """``(id, short, long, whole, few, batch_no)``: the suffix keys of ``records`` (``id``, ``batch_no``, ``content``).
-
-    ``whole`` is the hash of all words, ``few`` tells records with few keys.  Of exact copies within
-    the first batch the lowest id stands for all: already here for those that come together, then
-    in the segment for the others, so that a passage that fills the history doesn't pile up.
-    """
+def records_of(rows: DataFrame) -> DataFrame:
+    """``(id, batch_no, whole, whole2, codes)`` of ``rows`` with ``id``, ``batch_no``, ``content``: 32-bit codes of the normalised words, and two hashes of them all.  Texts without words give no row."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[str, int] = {}
         for batch in batches:
             if len(memo) > 1_000_000:
                 memo.clear()
-            batch = batch.sort_values("id", kind="stable")
-            texts = [normal_words(text) for text in batch["content"]]
-            whole = np.array([xxhash.xxh32_intdigest(" ".join(words)) for words in texts], np.uint32).view(np.int32)
-            later = batch["batch_no"].to_numpy() > 0
-            whole[later] = batch["id"].to_numpy()[later].astype(np.int32)  # each of its own: later copies are cases
-            copy = ~later & pd.Series(whole).duplicated().to_numpy()
-            owner, short, long = suffix_places([[] if again else words for words, again in zip(texts, copy)], memo)
-            counts = np.bincount(owner, minlength=len(batch))
-            yield pd.DataFrame({"id": batch["id"].to_numpy()[owner], "short": short, "long": long, "whole": whole[owner], "few": (counts < FEW)[owner], "batch_no": batch["batch_no"].to_numpy()[owner]})
-
-    return records.select("id", "batch_no", "content").mapInPandas(make, _KEYS)
-
-
-def likeness(a: str, b: str) -> float:
-    """Share of word pairs that two texts have in common (of words, where one is shorter than two)."""
-    x, y = normal_words(a), normal_words(b)
-    if min(len(x), len(y)) > 1:
-        x, y = list(zip(x, x[1:])), list(zip(y, y[1:]))
-    total = len(x) + len(y)
-    return 2 * sum((Counter(x) & Counter(y)).values()) / total if total else 0.0
+            codes = []
+            for text in batch["content"]:
+                words = normal_words(text)
+                for word in words:
+                    if word not in memo:
+                        memo[word] = xxhash.xxh32_intdigest(word)
+                codes.append(np.array([memo[word] for word in words], "<u4").tobytes())
+            out = batch[["id", "batch_no"]].assign(codes=codes)
+            out = out[out["codes"].map(len) > 0]
+            for name, seed in (("whole", 0), ("whole2", 1)):
+                out[name] = np.array([xxhash.xxh64_intdigest(c, seed) for c in out["codes"]], np.uint64).view(np.int64)
+            yield out[["id", "batch_no", "whole", "whole2", "codes"]]
+
+    return rows.select("id", "batch_no", "content").mapInPandas(make, _RECORD)
+
+
+def _begin(codes: np.ndarray, words: int, bits: int) -> np.ndarray:
+    """For each place the first ``bits`` bits of the codes of the ``words`` words from it on, so that numbers are ordered as the suffixes are."""
+    top = codes >> np.uint64(32 - bits)
+    out = np.zeros(len(codes), np.uint64)
+    for k in range(words):
+        out <<= np.uint64(bits)
+        out[: len(codes) - k] |= top[k:]
+    return out
+
+
+def _lowest(hashes: np.ndarray, within: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Which places are the lowest of some window of ``WINDOW`` places; ``within`` tells the places a window may begin at."""
+    low = hashes.copy()
+    for k in range(1, WINDOW):
+        low[:-k] = np.minimum(low[:-k], hashes[k:])
+    kept = within & (low == hashes)
+    for k in range(1, WINDOW):
+        kept[k:] |= within[:-k] & (low[:-k] == hashes[k:]) & (texts[:-k] == texts[k:])
+    return kept
+
+
+def suffixes(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sampled suffixes of the concatenated ``texts`` (arrays of codes) in order: key, number of the text, and the share of the text it stands for.
+
+    A key's top bits tell suffixes, suffixes of short texts, and whole texts apart.  Equal suffixes
+    of one text are one.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    if not sizes.sum():
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    gap = np.zeros(SUFFIX_WORDS, np.uint32)
+    flat = np.concatenate([part for t in texts for part in (t, gap)]).astype(np.uint64)
+    starts = np.concatenate([[0], np.cumsum(sizes + SUFFIX_WORDS)[:-1]])
+    owner = np.repeat(np.arange(len(sizes)), sizes + SUFFIX_WORDS)
+    at = np.arange(len(flat)) - starts[owner]
+    n = sizes[owner]
 
+    key = _begin(flat, SUFFIX_WORDS, 10)
+    valid = at <= n - SUFFIX_WORDS
+    mixed = (key ^ (key >> np.uint64(29))) * _MULTIPLIER
+    mixed = np.where(valid, mixed ^ (mixed >> np.uint64(32)), np.uint64(0xFFFFFFFFFFFFFFFF))
+    kept = valid & _lowest(mixed, valid & ((at + WINDOW - 1 <= n - SUFFIX_WORDS) | (at == 0)), owner)
+    places = np.nonzero(kept)[0]
+    following = np.append(places[1:], len(flat))
+    stands = np.minimum(np.minimum(following - places, SUFFIX_WORDS), (n - at)[places])
 
-class Likeness:
-    """Tells texts alike as ``likeness`` does, with the word pairs of the texts met last kept as sets of numbers.
+    short = np.nonzero((n < SHORT_TEXT) & (at <= n - SHORT_WORDS))[0]
+    short_key = _begin(flat, SHORT_WORDS, 20)[short] | _SHORT_KEYS
+    full = np.nonzero(sizes)[0]
+    whole = np.array([xxhash.xxh64_intdigest(texts[k].astype("<u4").tobytes(), 2) for k in full], np.uint64) >> np.uint64(4) | _WHOLE_KEYS
 
-    The n-th equal pair of a text has a number of its own, so sets intersect as multisets do.
-    """
+    keys = np.concatenate([key[places], short_key, whole])
+    owners = np.concatenate([owner[places], owner[short], full])
+    words = np.concatenate([stands, np.ones(len(short), np.int64), sizes[full]])
+    shares = -(-words * _ALL // sizes[owners])
+    order = np.lexsort((owners, keys))
+    keys, owners, shares = keys[order], owners[order], shares[order]
+    first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])))
+    return keys[first], owners[first], np.minimum(np.add.reduceat(shares, first), _ALL)
+
+
+def _cut(values: np.ndarray, of: np.ndarray) -> dict[int, np.ndarray]:
+    """Indices of ``values`` by the number they have in ``of``."""
+    order = np.argsort(of, kind="stable")
+    numbers, begin = np.unique(of[order], return_index=True)
+    return dict(zip(numbers.tolist(), np.split(order, begin[1:])))
+
+
+def _pack(number: int, entries: tuple, more: tuple) -> tuple:
+    kinds = ("<u8", "<i8", "<u2")
+    return (number, len(entries[0]), *(a.astype(t).tobytes() for a, t in zip(entries, kinds)), *(a.astype(t).tobytes() for a, t in zip(more, kinds)))
+
+
+def _unpack(row, prefix: str = "", names: tuple = ("keys", "ids", "shares")) -> tuple[np.ndarray, ...]:
+    return tuple(np.frombuffer(getattr(row, prefix + name), t) for name, t in zip(names, ("<u8", "<i8", "<u2")))
+
+
+_MORE = ("more_keys", "more_ids", "more_shares")
+
+
+def _join_blocks(number: int, parts: list) -> tuple:
+    """One sorted block of the blocks ``parts`` of a range."""
+    keys, ids, shares = (np.concatenate(a) for a in zip(*(_unpack(p) for p in parts)))
+    more = tuple(np.concatenate(a) for a in zip(*(_unpack(p, names=_MORE) for p in parts)))
+    order = np.lexsort((ids, keys))
+    return _pack(number, (keys[order], ids[order], shares[order]), more)
 
-    def __init__(self):
-        self.numbers: dict[tuple, int] = {}
-        self.sets: dict[str, set[int] | None] = {}
-
-    def pairs(self, text: str) -> set[int] | None:
-        if text not in self.sets:
-            if len(self.sets) > 5_000:
-                self.sets.clear()
-                self.numbers.clear()
-            words, seen, out = normal_words(text), Counter(), set()
-            for pair in zip(words, words[1:]):
-                seen[pair] += 1
-                out.add(self.numbers.setdefault((*pair, seen[pair]), len(self.numbers)))
-            self.sets[text] = out or None
-        return self.sets[text]
-
-    def alike(self, a: str, b: str) -> bool:
-        y, x = self.pairs(b), self.pairs(a)
-        if self.sets.get(b) is not y:  # forgotten meanwhile, and its numbers with it
-            y = self.pairs(b)
-        if x is None or y is None:  # shorter than two words
-            return likeness(a, b) >= LEAST_LIKE
-        total = len(x) + len(y)
-        return 2 * min(len(x), len(y)) / total >= LEAST_LIKE and 2 * len(x & y) / total >= LEAST_LIKE
+
+def _codes(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, "<u4")
+
+
+def likeness(x: np.ndarray, y: np.ndarray) -> float:
+    """Share of word pairs that two texts, arrays of codes, have in common (of words, where one is shorter than two)."""
+    if min(len(x), len(y)) > 1:
+        x, y = ((t[:-1].astype(np.uint64) << np.uint64(32)) | t[1:] for t in (x, y))
+    if not len(x) + len(y):
+        return 0.0
+    (a, m), (b, n) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    return 2 * int(np.minimum(m[i], n[j]).sum()) / (len(x) + len(y))
 
 
 class History:
     """The accepted records as suffix segments in the shared folder.
 
-    ``texts`` holds ``id`` and ``content`` of every record that is or will be added; of it only the
-    records of matching pairs are looked at again.
+    ``records`` holds the ``records_of`` everything that is or will be added; of it only the records
+    of pairs that are compared are looked at again.
     """
 
-    def __init__(self, texts: DataFrame):
-        self.spark: SparkSession = texts.sparkSession
-        self.texts = texts
+    def __init__(self, records: DataFrame):
+        self.spark: SparkSession = records.sparkSession
+        self.records = records
         self.path = f"{shared_dir(self.spark)}/history-{uuid.uuid4().hex}"
-        self.segments: list[tuple[int, str]] = []  # (places, table); they hold cases, too, which are left out of matches
+        self.database = f"history_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE DATABASE {self.database} LOCATION '{self.path}/segments'")
+        self.segments: list[tuple[int, str]] = []  # (places, table); they hold cases, too, which are left out of pairs
         self.cases = self.spark.createDataFrame([], "kept_id long, chunk_id long")
         self.made = 0
-        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        n = records.count()
+        self.buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-n * 40 // BUCKET_PLACES))
+        self.fences = self._lay_fences(min(1.0, FENCE_RECORDS / max(n, 1)))
+
+    def _lay_fences(self, share: float) -> np.ndarray:
+        """Keys that cut the suffixes into about equal ranges.  A key so common that it fills several ranges is several fences."""
+
+        def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                keys, owners, _ = suffixes([_codes(c) for c in batch["codes"]])
+                lot = pd.Series((keys * _MULTIPLIER) >> np.uint64(20))
+                yield pd.DataFrame({"key": keys[(lot.groupby(owners).rank(method="first") <= 8).to_numpy()].view(np.int64)})
+
+        keys = np.sort(self.records.sample(share, seed=7).mapInPandas(some, "key long").toPandas()["key"].to_numpy(np.int64).view(np.uint64))
+        ranges = 4 * self.buckets
+        return keys[np.arange(1, ranges) * len(keys) // ranges] if len(keys) else np.zeros(0, np.uint64)
 
     def _new(self) -> str:
         self.made += 1
@@ -176,142 +222,236 @@ class History:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def _add_segment(self, keys: DataFrame, size: int | None) -> None:
-        """Adds ``keys`` as a segment: by key, each with how many records have the key (``size``) and its place among those that share ``LONG`` words.
+    def close(self) -> None:
+        """Deletes everything but the cases."""
+        self.spark.sql(f"DROP DATABASE IF EXISTS {self.database} CASCADE")
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    # --- segments ------------------------------------------------------------------------------
+
+    def _save(self, blocks: DataFrame) -> str:
+        name = f"{self.database}.segment_{uuid.uuid4().hex}"
+        blocks.write.bucketBy(self.buckets, "range").option("compression", "zstd").saveAsTable(name)
+        return name
+
+    def _segment(self, records: DataFrame) -> str:
+        """The suffix array of ``records``.
 
-        The last segment is merged into it as long as that is less than twice as large, so sizes
-        fall by halves and a record is rewritten a logarithmic number of times.
+        Suffixes whose key is several fences are dealt to all the ranges between; that they may
+        look for each other, each is added to the other ranges as one that only looks (``more``).
         """
-        merged = []
-        while size is not None and self.segments and self.segments[-1][0] < 2 * size:
+        fences = self.fences
+
+        def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                keys, owners, shares = suffixes([_codes(c) for c in batch["codes"]])
+                ids = batch["id"].to_numpy(np.int64)[owners]
+                low, high = np.searchsorted(fences, keys, "left"), np.searchsorted(fences, keys, "right")
+                own = low + ids % (high - low + 1)
+                wide = np.flatnonzero(high > low)
+                spread = np.repeat(wide, (high - low + 1)[wide])
+                to = low[spread] + np.arange(len(spread)) - np.repeat(np.cumsum((high - low + 1)[wide]) - (high - low + 1)[wide], (high - low + 1)[wide])
+                spread, to = spread[to != own[spread]], to[to != own[spread]]
+                entries, more = _cut(keys, own), _cut(keys, to)
+                nothing = np.zeros(0, np.int64)
+                rows = []
+                for number in entries.keys() | more.keys():
+                    e, m = entries.get(number, nothing), spread[more.get(number, nothing)]
+                    rows.append(_pack(number, (keys[e], ids[e], shares[e]), (keys[m], ids[m], shares[m])))
+                yield pd.DataFrame(rows, columns=_COLUMNS)
+
+        def merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame([_join_blocks(int(key[0]), list(parts.itertuples()))], columns=_COLUMNS)
+
+        made = records.select("id", "codes").mapInPandas(make, _BLOCK)
+        return self._save(made.repartition(self.buckets, "range").groupBy("range").applyInPandas(merge, _BLOCK))
+
+    def _push(self, name: str) -> None:
+        """Adds a segment, merged with those before it that are less than twice as large."""
+        size = self.spark.table(name).agg(F.sum("size")).first()[0] or 0
+        while self.segments and self.segments[-1][0] < 2 * size:
             old_size, old = self.segments.pop()
-            merged.append(old)
-            keys = keys.unionByName(self.spark.table(old).select("id", "short", "long", "whole", "few"))
-            size += old_size
-        by_key, by_long = Window.partitionBy("short"), Window.partitionBy("short", "long").orderBy("id")
-        laid = (
-            keys.repartition(self.buckets, "short")
-            .withColumn("nth", F.row_number().over(by_long.partitionBy("short", "long", "whole")))
-            .filter("nth = 1")
-            .withColumn("nth", F.row_number().over(by_long))
-            .withColumn("size", F.count(F.lit(1)).over(by_key).cast("int"))
-        )
-        name = f"segment_{uuid.uuid4().hex}"
-        laid.write.bucketBy(self.buckets, "short").sortBy("short").option("path", self._new()).saveAsTable(name)
-        self.segments.append((self.spark.table(name).count() if size is None else size, name))
-        for old in merged:
+            theirs = self.spark.table(old).select("range", *(F.col(c).alias(f"old_{c}") for c in _COLUMNS[1:]))
+            both = self.spark.table(name).join(theirs.hint("shuffle_hash"), "range", "full")
+
+            def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for batch in batches:
+                    rows = []
+                    for row in batch.itertuples():
+                        blocks = [(getattr(row, f"{prefix}keys"), getattr(row, f"{prefix}ids"), getattr(row, f"{prefix}shares")) for prefix in ("", "old_")]
+                        rows.append(_join_blocks(row.range, [_Entries(*block) for block in blocks if block[0] is not None]))
+                    yield pd.DataFrame(rows, columns=_COLUMNS)
+
+            merged = self._save(both.mapInPandas(merge, _BLOCK))
+            self.spark.sql(f"DROP TABLE {name}")
             self.spark.sql(f"DROP TABLE {old}")
+            name, size = merged, size + old_size
+        self.segments.append((size, name))
 
-    def close(self) -> None:
-        """Forgets the segment tables; the files stay in the shared folder."""
-        for _, name in self.segments:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-
-    def _matches(self, keys: DataFrame, segment: DataFrame) -> DataFrame:
-        """Matches by keys that aren't common, and of the common ones those with the lowest records that share ``LONG`` words."""
-        old = segment.select(F.col("id").alias("kept_id"), "short", F.col("long").alias("kept_long"), F.col("few").alias("kept_few"), "nth", "size")
-        return (
-            old.join(keys.hint("shuffle_hash"), "short")
-            .filter(F.col("kept_id") < F.col("id"))
-            .filter((F.col("size") <= COMMON) | (F.col("nth") <= COMMON) & (F.col("long") == F.col("kept_long")))
-            .select("kept_id", "id", (F.col("few") | F.col("kept_few")).alias("few"), (F.col("long") == F.col("kept_long")).alias("long"))
-        )
-
-    def _common_matches(self, keys: DataFrame, segment: DataFrame) -> DataFrame:
-        """The matches that ``_matches`` leaves out.  ``keys`` have the ``bound`` below which a record's matches count.
-
-        The records of a key are dealt to blocks by their ids, and each key of the batch goes to all
-        of its blocks, so that no task has a key to itself.
+    # --- matches -------------------------------------------------------------------------------
+
+    def _look_up(self, batch: str, segment: str) -> DataFrame:
+        """``(id, kept_id, share, key, range, n)``: the matches of a batch's suffixes with a segment's, found by binary search.
+
+        Of more than ``HOT`` equal suffixes only the lowest ids come, and a row without ``kept_id`` that tells how many there are.
         """
-        common = segment.filter(F.col("size") > COMMON)
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        old = common.select(F.col("id").alias("kept_id"), "short", F.col("long").alias("kept_long"), F.col("few").alias("kept_few"), "nth", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
-        sizes = common.groupBy("short").agg(F.first("size").alias("size"))
-        spread = keys.join(sizes, "short").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("size")
-        same = F.col("long") == F.col("kept_long")
-        return (
-            old.join(spread, ["short", "block"])
-            .filter(F.col("kept_id") < F.col("bound"))
-            .filter(~same | (F.col("nth") > COMMON))
-            .select("kept_id", "id", (F.col("few") | F.col("kept_few")).alias("few"), same.alias("long"))
-        )
-
-    def _counted(self, matches: list[DataFrame]) -> DataFrame:
-        """``(kept_id, id, shared, few)`` of every pair."""
-        found = matches[0]
-        for part in matches[1:]:
-            found = found.unionByName(part)
-        return found.groupBy("kept_id", "id").agg(F.sum(F.when(F.col("long"), LEAST_SHARED).otherwise(1)).alias("shared"), F.max("few").alias("few"))
-
-    def _like(self, pairs: DataFrame, records: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (written) whose texts are alike."""
+        mine = self.spark.table(batch)
+        theirs = self.spark.table(segment).select("range", F.col("keys").alias("old_keys"), F.col("ids").alias("old_ids"))
+
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for blocks in batches:
+                for row in blocks.itertuples():
+                    own, more = _unpack(row), _unpack(row, names=_MORE)
+                    keys, ids, shares = (np.concatenate(a) for a in zip(own, more))
+                    old_keys, old_ids = np.frombuffer(row.old_keys, "<u8"), np.frombuffer(row.old_ids, "<i8")
+                    low, high = np.searchsorted(old_keys, keys, "left"), np.searchsorted(old_keys, keys, "right")
+                    n = high - low
+                    who, at = _spread(low, np.minimum(n, HOT))
+                    lower = old_ids[at] < ids[who]
+                    who, kept = who[lower], old_ids[at[lower]]
+                    yield pd.DataFrame({"id": ids[who], "kept_id": kept, "share": shares[who].astype(np.int32), "key": None, "range": None, "n": None})
+                    hot = np.flatnonzero(n > HOT)
+                    if len(hot):
+                        yield pd.DataFrame({"id": ids[hot], "kept_id": None, "share": shares[hot].astype(np.int32), "key": keys[hot].view(np.int64), "range": row.range, "n": n[hot]})
+
+        return mine.join(theirs, "range").mapInPandas(search, "id long, kept_id long, share int, key long, range int, n long")
+
+    def _look_up_rest(self, wanted: DataFrame, segment: str) -> DataFrame:
+        """``(id, kept_id, share)``: what ``_look_up`` left out for the suffixes ``wanted`` (``id``, ``key``, ``range``, ``share``, ``bound``), as far as it is below the bound."""
+        asked = wanted.repartition(self.buckets, "range").groupBy("range").agg(F.collect_list(F.struct("id", "key", "share", "bound")).alias("asked")).select("range", *(F.col(f"asked.{c}").alias(c) for c in ("id", "key", "share", "bound")))
+        theirs = self.spark.table(segment).select("range", "keys", "ids")
+
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for blocks in batches:
+                for row in blocks.itertuples():
+                    old_keys, old_ids = np.frombuffer(row.keys, "<u8"), np.frombuffer(row.ids, "<i8")
+                    keys = np.asarray(row.key, np.int64).view(np.uint64)
+                    lows, highs = np.searchsorted(old_keys, keys, "left") + HOT, np.searchsorted(old_keys, keys, "right")
+                    for low, high, own, share, bound in zip(lows, highs, row.id, row.share, row.bound):
+                        kept = old_ids[low:high]
+                        kept = kept[: np.searchsorted(kept, bound)]
+                        if len(kept):
+                            yield pd.DataFrame({"id": own, "kept_id": kept, "share": share})
+
+        return asked.join(theirs, "range").mapInPandas(search, "id long, kept_id long, share int")
+
+    def _alike(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (written: ``kept_id``, ``id``) whose texts are alike."""
         few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
         sent = F.broadcast(pairs) if few else pairs
-        kept = self.texts.select(F.col("id").alias("kept_id"), F.col("content").alias("kept_content")).join(sent, "kept_id")
-        if few:  # the texts of the pairs are few, too: they needn't move, but meet the batch's texts in the smaller side
-            both = records.select("id", "content").join(kept, "id")
-        else:
-            both = kept.join(records.select("id", "content"), "id")
+        codes = self.records.select("id", "codes")
+        kept = codes.withColumnsRenamed({"id": "kept_id", "codes": "kept_codes"}).join(sent, "kept_id")
+        ids = pairs.select("id").distinct()
+        both = kept.join(codes.join(F.broadcast(ids) if few else ids, "id", "left_semi").hint("shuffle_hash"), "id")
 
         def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            texts = Likeness()
             for batch in batches:
-                like = [texts.alike(a, b) for a, b in zip(batch["kept_content"], batch["content"])]
+                like = [likeness(_codes(a), _codes(b)) >= LEAST_LIKE for a, b in zip(batch["kept_codes"], batch["codes"])]
                 yield batch.loc[like, ["kept_id", "id"]]
 
-        return both.select("kept_id", "kept_content", "id", "content").mapInPandas(compare, "kept_id long, id long")
+        return both.select("kept_id", "kept_codes", "id", "codes").mapInPandas(compare, "kept_id long, id long")
 
-    def _repeats(self, keys: DataFrame, inside: DataFrame, records: DataFrame) -> DataFrame:
-        """``(kept_id, id)`` of every record that is like a lower record of the history or of its own batch (``inside``).
+    def _repeats(self, batch: str, inside: DataFrame) -> DataFrame:
+        """``(kept_id, id)`` of every record of ``batch`` that is like a lower record of the history or of its own batch (``inside``).
 
-        Of a record that is like one of the history, pairs above the lowest of those can be missing:
-        it is a case of that one or of a lower one.
+        Two records are compared if the matches between them cover ``LEAST_COVER`` of the new one.
+        Where common suffixes, whose matches are not all known at first, could fill up what a pair lacks, it is compared as well;
+        where they are so many that they alone could, they are looked up in full, but for the commonest that
+        together can't reach half of what is needed.  Of a record that is like one of the history, pairs above
+        the lowest of those can be missing: it is a case of that one or of a lower one.
         """
-        tables = [self.spark.table(name) for _, name in self.segments]
-        enough = (F.col("shared") >= LEAST_SHARED) | F.col("few")
-        counts = self._write(self._counted([self._matches(keys, table) for table in tables]))
+        tables = [name for _, name in self.segments] + [batch]
+        matches = self._look_up(batch, tables[0])
+        for name in tables[1:]:
+            matches = matches.unionByName(self._look_up(batch, name))
+        matches = self._write(matches)
         cases = self.cases.select(F.col("chunk_id").alias("kept_id"))
-        first = self._write(counts.filter(enough).select("kept_id", "id").join(cases, "kept_id", "left_anti"))
-        like = self._write(self._like(first, records))
-        known = self._write(like.join(inside, "kept_id", "left_anti").groupBy("id").agg(F.min("kept_id").alias("bound")))
-        bounded = keys.join(known, "id", "left").withColumn("bound", F.coalesce("bound", "id"))
-        others = self._counted([self._common_matches(bounded, table) for table in tables])
-        others = others.join(cases.unionByName(known.select(F.col("id").alias("kept_id"))), "kept_id", "left_anti")
-        before = counts.select("kept_id", "id", F.col("shared").alias("before"), F.col("few").alias("was_few"))
-        others = others.join(before, ["kept_id", "id"], "left").withColumn("shared", F.col("shared") + F.coalesce("before", F.lit(0)))
-        compared = F.coalesce((F.col("before") >= LEAST_SHARED) | F.col("was_few"), F.lit(False))
-        others = self._write(others.filter(enough & ~compared).select("kept_id", "id"))
-        return like if others.isEmpty() else like.unionByName(self._like(others, records))
-
-    def add_batch(self, records: DataFrame | None, keys: DataFrame, size: int | None) -> None:
-        """Adds a batch by its ``size`` suffix keys and its texts.  Without texts all of it is accepted; else its cases join ``self.cases``, ``(kept_id, chunk_id)``.
+        common = matches.filter("kept_id is null").groupBy("id", "key").agg(F.max("share").alias("share"), F.sum("n").alias("n"), F.collect_set("range").alias("ranges"))
+        rarest_last = Window.partitionBy("id").orderBy(F.desc("n"), "key")
+        common = common.withColumn("left_out", F.sum("share").over(rarest_last)).withColumn("common", F.sum("share").over(Window.partitionBy("id")))
+        common = self._write(common)
+        in_common = common.groupBy("id").agg(F.first("common").alias("common"))
+        counted = matches.filter("kept_id is not null").groupBy("kept_id", "id").agg(F.sum("share").alias("share"))
+        lacks = F.when(F.coalesce("common", F.lit(0)) < _NEED // 2, _NEED - F.coalesce("common", F.lit(0))).otherwise(_NEED)
+        first = counted.filter(F.col("share") >= _NEED // 2).join(in_common, "id", "left").filter(F.col("share") >= lacks).select("kept_id", "id")
+        first = self._write(first.join(cases, "kept_id", "left_anti"))
+        like = self._write(self._alike(first))
+        heavy = common.filter(F.col("common") >= _NEED // 2)
+        if heavy.isEmpty():
+            return like
+        bounds = like.join(inside, "kept_id", "left_anti").groupBy("id").agg(F.min("kept_id").alias("bound"))
+        out = F.col("left_out") < _NEED // 2
+        missing = self._write(heavy.groupBy("id").agg(F.coalesce(F.max(F.when(out, F.col("left_out"))), F.lit(0)).alias("missing")).join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", "id")))
+        wanted = self._write(heavy.filter(~out).join(missing, "id").select("id", "key", F.explode("ranges").alias("range"), F.col("share").cast("int").alias("share"), "bound"))
+        rest = matches.filter("kept_id is not null").select("id", "kept_id", "share").join(missing.select("id"), "id", "left_semi")
+        for name in tables:
+            rest = rest.unionByName(self._look_up_rest(wanted, name))
+        rest = rest.groupBy("kept_id", "id").agg(F.sum("share").alias("share")).join(missing, "id")
+        rest = rest.filter((F.col("share") >= _NEED - F.col("missing")) & (F.col("kept_id") < F.col("bound"))).select("kept_id", "id")
+        rest = self._write(rest.join(first, ["kept_id", "id"], "left_anti").join(cases, "kept_id", "left_anti"))
+        return like.unionByName(self._alike(rest))
+
+    # --- batches -------------------------------------------------------------------------------
+
+    def _copies(self, records: DataFrame) -> DataFrame:
+        """``(id, first)``: the records of a batch that are copies of a lower one of it."""
+        repeated = records.groupBy("whole", "whole2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        return self._write(records.select("id", "whole", "whole2").join(self._write(repeated), ["whole", "whole2"]).filter("id != first").select("id", "first"))
+
+    def add_batch(self, records: DataFrame, accept_all: bool = False) -> None:
+        """Adds a batch.  With ``accept_all`` all of it is accepted; else its cases join ``self.cases``, ``(kept_id, chunk_id)``.
 
         A record is a case if it is like an accepted record; of several the lowest id counts.
         Records of the batch are decided in order of id, in rounds: what has no undecided lower
-        like is accepted, which makes cases of the higher ones like it.
+        like is accepted, which makes cases of the higher ones like it.  Of copies within the batch the lowest
+        stands for all.
         """
-        keys = keys.select("id", "short", "long", "whole", "few")
-        self._add_segment(keys, size)
-        if records is None:
-            return
-        inside = keys.select(F.col("id").alias("kept_id")).distinct()
-        pairs = self._write(self._repeats(keys, inside, records))
+        copies = self._copies(records)
+        own = records.join(copies, "id", "left_anti")
+        batch = self._segment(own)
+        if not accept_all:
+            new = self._write(self._decide(batch, own.select(F.col("id").alias("kept_id"))))
+            of_first = copies.join(new.withColumnRenamed("chunk_id", "first"), "first", "left")
+            again = of_first.select(F.coalesce("kept_id", "first").alias("kept_id"), F.col("id").alias("chunk_id"))
+            self.cases = self._write(self.cases.unionByName(new).unionByName(again))
+        self._push(batch)
+
+    def _decide(self, batch: str, inside: DataFrame) -> DataFrame:
+        pairs = self._write(self._repeats(batch, inside))
         within = self._write(pairs.join(inside, "kept_id", "left_semi"))
         outside = pairs.join(within, ["kept_id", "id"], "left_anti")
         cases = outside.groupBy("id").agg(F.min("kept_id").alias("kept_id")).select("kept_id", F.col("id").alias("chunk_id"))
-        open_ = within
-        if not open_.isEmpty():
-            cases = self._write(cases)
-            known = cases.select(F.col("chunk_id").alias("id"))
-            open_ = open_.join(known, "id", "left_anti").join(known.withColumnRenamed("id", "kept_id"), "kept_id", "left_anti")
-            while not open_.isEmpty():
-                upper = open_.select(F.col("id").alias("kept_id")).distinct()
-                first = open_.join(upper, "kept_id", "left_anti")  # their lower ends are accepted
-                new = self._write(first.groupBy("id").agg(F.min("kept_id").alias("kept_id")).select("kept_id", F.col("id").alias("chunk_id")))
-                cases = cases.unionByName(new)
-                done = new.select(F.col("chunk_id").alias("id"))
-                open_ = self._write(open_.join(done, "id", "left_anti").join(done.withColumnRenamed("id", "kept_id"), "kept_id", "left_anti"))
-        self.cases = self._write(self.cases.unionByName(cases))
+        if within.isEmpty():
+            return cases
+        cases = self._write(cases)
+        known = cases.select(F.col("chunk_id").alias("id"))
+        open_ = self._write(within.join(known, "id", "left_anti").join(known.withColumnRenamed("id", "kept_id"), "kept_id", "left_anti"))
+        while not open_.isEmpty():
+            upper = open_.select(F.col("id").alias("kept_id")).distinct()
+            first = open_.join(upper, "kept_id", "left_anti")  # their lower ends are accepted
+            new = self._write(first.groupBy("id").agg(F.min("kept_id").alias("kept_id")).select("kept_id", F.col("id").alias("chunk_id")))
+            cases = cases.unionByName(new)
+            done = new.select(F.col("chunk_id").alias("id"))
+            open_ = self._write(open_.join(done, "id", "left_anti").join(done.withColumnRenamed("id", "kept_id"), "kept_id", "left_anti"))
+        return cases
+
+
+def _spread(low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the ``n`` places from ``low`` on, whose it is and where it is."""
+    who = np.repeat(np.arange(len(low)), n)
+    return who, np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + low[who]
+
+
+class _Entries(NamedTuple):
+    """A block's entries, without any that only look."""
+
+    keys: bytes
+    ids: bytes
+    shares: bytes
+    more_keys: bytes = b""
+    more_ids: bytes = b""
+    more_shares: bytes = b""
 
 
 def found(chunks: DataFrame) -> DataFrame:
@@ -322,17 +462,18 @@ def found(chunks: DataFrame) -> DataFrame:
     whose equality they stand for.  Rows without id or batch are left out; null and empty contents
     repeat nothing; a row repeated under its own id is no case of itself; without chunks there is no row.
     """
+    spark = chunks.sparkSession
     rows = chunks.select(F.col("id").cast("long").alias("id"), F.col("batch_no").cast("int").alias("batch_no"), "content").filter("id is not null and batch_no is not null and content is not null")
-    history = History(rows)
+    path = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    records_of(rows).write.partitionBy("batch_no").option("compression", "zstd").parquet(f"{path}/records")
+    records = spark.read.schema(_RECORD).parquet(f"{path}/records")
     number = F.col("batch_no")
-    for old in sorted(row.batch_no for row in rows.filter(number <= 0).select("batch_no").distinct().collect()):
-        history.add_batch(None, keys_of(rows.filter(number == old)), None)
-    keys = keys_of(rows.filter(number > 0))
-    path = history._new()
-    keys.write.partitionBy("batch_no").parquet(path)
-    keys = history.spark.read.schema(keys.schema).parquet(path)
-    sizes = {row.batch_no: row["count"] for row in keys.groupBy("batch_no").count().collect()}  # a row for each batch
-    for new in sorted(sizes):
-        history.add_batch(rows.filter(number == new), keys.filter(number == new), sizes[new])
-    history.close()
-    return history.cases
+    batches = sorted(row.batch_no for row in records.select("batch_no").distinct().collect())  # a row for each batch
+    history = History(records)
+    try:
+        for batch in batches:
+            history.add_batch(records.filter(number == batch), accept_all=batch <= 0)
+        history.cases.write.parquet(f"{path}/cases")
+    finally:
+        history.close()
+    return spark.read.schema("kept_id long, chunk_id long").parquet(f"{path}/cases")
