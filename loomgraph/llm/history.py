@@ -337,7 +337,7 @@ class History:
         return asked.join(theirs, "range").mapInPandas(search, "id long, kept_id long, share int")
 
     def _alike(self, pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (written: ``kept_id``, ``id``) whose texts are alike."""
+        """Those of ``pairs`` (written: ``kept_id``, ``id``, ``inside``) whose texts are alike."""
         few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
         sent = F.broadcast(pairs) if few else pairs
         codes = self.records.select("id", "codes")
@@ -348,12 +348,12 @@ class History:
         def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 like = [likeness(_codes(a), _codes(b)) >= LEAST_LIKE for a, b in zip(batch["kept_codes"], batch["codes"])]
-                yield batch.loc[like, ["kept_id", "id"]]
+                yield batch.loc[like, ["kept_id", "id", "inside"]]
 
-        return both.select("kept_id", "kept_codes", "id", "codes").mapInPandas(compare, "kept_id long, id long")
+        return both.select("kept_id", "kept_codes", "id", "codes", "inside").mapInPandas(compare, "kept_id long, id long, inside boolean")
 
-    def _repeats(self, batch: str, inside: DataFrame) -> DataFrame:
-        """``(kept_id, id)`` of every record of ``batch`` that is like a lower record of the history or of its own batch (``inside``).
+    def _repeats(self, batch: str) -> DataFrame:
+        """``(kept_id, id, inside)`` of every record of ``batch`` that is like a lower record of the history or of its own batch (``inside``).
 
         Two records are compared if the matches between them cover ``LEAST_COVER`` of the new one.
         Where common suffixes, whose matches are not all known at first, could fill up what a pair lacks, it is compared as well;
@@ -361,43 +361,42 @@ class History:
         together can't reach half of what is needed.  Of a record that is like one of the history, pairs above
         the lowest of those can be missing: it is a case of that one or of a lower one.
         """
-        tables = [name for _, name in self.segments] + [batch]
-        matches = self._look_up(batch, tables[0])
-        for name in tables[1:]:
-            matches = matches.unionByName(self._look_up(batch, name))
+        tables = [(batch, True)] + [(name, False) for _, name in self.segments]
+        matches = self._together([self._look_up(batch, name).withColumn("inside", F.lit(own)) for name, own in tables])
         matches = self._write(matches)
         cases = self.cases.select(F.col("chunk_id").alias("kept_id"))
         common = matches.filter("kept_id is null").groupBy("id", "key").agg(F.max("share").alias("share"), F.sum("n").alias("n"), F.collect_set("range").alias("ranges"))
-        rarest_last = Window.partitionBy("id").orderBy(F.desc("n"), "key")
-        common = common.withColumn("left_out", F.sum("share").over(rarest_last)).withColumn("common", F.sum("share").over(Window.partitionBy("id")))
-        common = self._write(common)
-        in_common = common.groupBy("id").agg(F.first("common").alias("common"))
-        counted = matches.filter("kept_id is not null").groupBy("kept_id", "id").agg(F.sum("share").alias("share"))
+        known = matches.filter("kept_id is not null").select("kept_id", "id", "share", "inside")
+        counted = known.groupBy("kept_id", "id").agg(F.sum("share").alias("share"), F.max("inside").alias("inside"))
         lacks = F.when(F.coalesce("common", F.lit(0)) < _NEED // 2, _NEED - F.coalesce("common", F.lit(0))).otherwise(_NEED)
-        first = counted.filter(F.col("share") >= _NEED // 2).join(in_common, "id", "left").filter(F.col("share") >= lacks).select("kept_id", "id")
-        first = self._write(first.join(cases, "kept_id", "left_anti"))
+        first = counted.filter(F.col("share") >= _NEED // 2).join(common.groupBy("id").agg(F.sum("share").alias("common")), "id", "left").filter(F.col("share") >= lacks)
+        first = self._write(first.join(cases, "kept_id", "left_anti").select("kept_id", "id", "inside"))
         like = self._write(self._alike(first))
-        heavy = common.filter(F.col("common") >= _NEED // 2)
-        if heavy.isEmpty():
+
+        own = Window.partitionBy("id")
+        left_out = F.col("left_out") < _NEED // 2
+        heavy = common.withColumns({"left_out": F.sum("share").over(own.orderBy(F.desc("n"), "key")), "common": F.sum("share").over(own)}).filter(F.col("common") >= _NEED // 2)
+        heavy = heavy.withColumn("missing", F.coalesce(F.max(F.when(left_out, F.col("left_out"))).over(own), F.lit(0)))
+        bounds = like.filter("not inside").groupBy("id").agg(F.min("kept_id").alias("bound"))
+        wanted = heavy.filter(~left_out).join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", "id"))
+        wanted = self._write(wanted.select("id", "key", F.explode("ranges").alias("range"), F.col("share").cast("int").alias("share"), "bound", "missing"))
+        if wanted.isEmpty():
             return like
-        bounds = like.join(inside, "kept_id", "left_anti").groupBy("id").agg(F.min("kept_id").alias("bound"))
-        out = F.col("left_out") < _NEED // 2
-        missing = self._write(heavy.groupBy("id").agg(F.coalesce(F.max(F.when(out, F.col("left_out"))), F.lit(0)).alias("missing")).join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", "id")))
-        wanted = self._write(heavy.filter(~out).join(missing, "id").select("id", "key", F.explode("ranges").alias("range"), F.col("share").cast("int").alias("share"), "bound"))
-        rest = matches.filter("kept_id is not null").select("id", "kept_id", "share").join(missing.select("id"), "id", "left_semi")
-        for name in tables:
-            rest = rest.unionByName(self._look_up_rest(wanted, name))
-        rest = rest.groupBy("kept_id", "id").agg(F.sum("share").alias("share")).join(missing, "id")
-        rest = rest.filter((F.col("share") >= _NEED - F.col("missing")) & (F.col("kept_id") < F.col("bound"))).select("kept_id", "id")
+        asked = wanted.groupBy("id").agg(F.max("bound").alias("bound"), F.max("missing").alias("missing"))
+        rest = self._together([known.join(asked.select("id"), "id", "left_semi"), *(self._look_up_rest(wanted, name).withColumn("inside", F.lit(own)) for name, own in tables)])
+        rest = rest.groupBy("kept_id", "id").agg(F.sum("share").alias("share"), F.max("inside").alias("inside")).join(asked, "id")
+        rest = rest.filter((F.col("share") >= _NEED - F.col("missing")) & (F.col("kept_id") < F.col("bound"))).select("kept_id", "id", "inside")
         rest = self._write(rest.join(first, ["kept_id", "id"], "left_anti").join(cases, "kept_id", "left_anti"))
         return like.unionByName(self._alike(rest))
 
-    # --- batches -------------------------------------------------------------------------------
+    @staticmethod
+    def _together(parts: list[DataFrame]) -> DataFrame:
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
 
-    def _copies(self, records: DataFrame) -> DataFrame:
-        """``(id, first)``: the records of a batch that are copies of a lower one of it."""
-        repeated = records.groupBy("whole", "whole2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        return self._write(records.select("id", "whole", "whole2").join(self._write(repeated), ["whole", "whole2"]).filter("id != first").select("id", "first"))
+    # --- batches -------------------------------------------------------------------------------
 
     def add_batch(self, records: DataFrame, accept_all: bool = False) -> None:
         """Adds a batch.  With ``accept_all`` all of it is accepted; else its cases join ``self.cases``, ``(kept_id, chunk_id)``.
@@ -407,34 +406,26 @@ class History:
         like is accepted, which makes cases of the higher ones like it.  Of copies within the batch the lowest
         stands for all.
         """
-        copies = self._copies(records)
-        own = records.join(copies, "id", "left_anti")
-        batch = self._segment(own)
+        repeated = records.groupBy("whole", "whole2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        copies = self._write(records.select("id", "whole", "whole2").join(repeated, ["whole", "whole2"]).filter("id != first").select("id", "first"))
+        batch = self._segment(records.join(copies, "id", "left_anti"))
         if not accept_all:
-            new = self._write(self._decide(batch, own.select(F.col("id").alias("kept_id"))))
-            of_first = copies.join(new.withColumnRenamed("chunk_id", "first"), "first", "left")
-            again = of_first.select(F.coalesce("kept_id", "first").alias("kept_id"), F.col("id").alias("chunk_id"))
-            self.cases = self._write(self.cases.unionByName(new).unionByName(again))
+            new = self._decide(self._write(self._repeats(batch)))
+            again = copies.join(new.withColumnRenamed("chunk_id", "first"), "first", "left").select(F.coalesce("kept_id", "first").alias("kept_id"), F.col("id").alias("chunk_id"))
+            self.cases = self._write(self._together([self.cases, new, again]))
         self._push(batch)
 
-    def _decide(self, batch: str, inside: DataFrame) -> DataFrame:
-        pairs = self._write(self._repeats(batch, inside))
-        within = self._write(pairs.join(inside, "kept_id", "left_semi"))
-        outside = pairs.join(within, ["kept_id", "id"], "left_anti")
-        cases = outside.groupBy("id").agg(F.min("kept_id").alias("kept_id")).select("kept_id", F.col("id").alias("chunk_id"))
-        if within.isEmpty():
-            return cases
-        cases = self._write(cases)
-        known = cases.select(F.col("chunk_id").alias("id"))
-        open_ = self._write(within.join(known, "id", "left_anti").join(known.withColumnRenamed("id", "kept_id"), "kept_id", "left_anti"))
-        while not open_.isEmpty():
+    def _decide(self, pairs: DataFrame) -> DataFrame:
+        cases = pairs.filter("not inside").groupBy("id").agg(F.min("kept_id").alias("kept_id")).select("kept_id", F.col("id").alias("chunk_id"))
+        open_, done = pairs.filter("inside"), cases.select(F.col("chunk_id").alias("id"))
+        while True:
+            open_ = self._write(open_.join(done, "id", "left_anti").join(done.withColumnRenamed("id", "kept_id"), "kept_id", "left_anti"))
+            if open_.isEmpty():
+                return cases
             upper = open_.select(F.col("id").alias("kept_id")).distinct()
             first = open_.join(upper, "kept_id", "left_anti")  # their lower ends are accepted
             new = self._write(first.groupBy("id").agg(F.min("kept_id").alias("kept_id")).select("kept_id", F.col("id").alias("chunk_id")))
-            cases = cases.unionByName(new)
-            done = new.select(F.col("chunk_id").alias("id"))
-            open_ = self._write(open_.join(done, "id", "left_anti").join(done.withColumnRenamed("id", "kept_id"), "kept_id", "left_anti"))
-        return cases
+            cases, done = cases.unionByName(new), new.select(F.col("chunk_id").alias("id"))
 
 
 def _spread(low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
