@@ -36,8 +36,8 @@ SHORT_TEXT, SHORT_WORDS = 32, 3
 LEAST_COVER, LEAST_LIKE = 0.2, 0.7
 #: Of more equal suffixes than this in one block the lowest ids are met first, and the others as far as they still can matter.
 HOT = 32
-#: Suffixes for which a segment has a bucket; a bucket has four ranges.
-BUCKET_PLACES = 1_000_000
+#: Suffixes of all records for which a segment has a bucket; a bucket has four ranges.
+BUCKET_PLACES = 400_000
 #: Records whose suffixes are sampled to lay the fences (this affects only how even the ranges are).
 FENCE_RECORDS = 4_000
 #: Pairs up to which the pairs of a batch are broadcast (16 bytes each).
@@ -197,7 +197,7 @@ class History:
         self.cases = self.spark.createDataFrame([], "kept_id long, chunk_id long")
         self.made = 0
         n = records.count()
-        self.buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-n * 40 // BUCKET_PLACES))
+        self.buckets = max(2, -(-n * 40 // BUCKET_PLACES))
         self.fences = self._lay_fences(min(1.0, FENCE_RECORDS / max(n, 1)))
 
     def _lay_fences(self, share: float) -> np.ndarray:
