@@ -33,13 +33,15 @@ SUFFIX_WORDS, WINDOW = 6, 5
 SHORT_TEXT, SHORT_WORDS = 32, 3
 #: Share of a record's words that matches with another cover, from which the two are compared, and the share of word pairs
 #: they must then have in common to be repeats.
-LEAST_COVER, LEAST_LIKE = 0.2, 0.7
+LEAST_COVER, LEAST_LIKE = 0.15, 0.7
 #: Of more equal suffixes than this in one block the lowest ids are met first, and the others as far as they still can matter.
-HOT = 32
+HOT = 64
 #: Suffixes of all records for which a segment has a bucket; a bucket has four ranges.
 BUCKET_PLACES = 400_000
 #: Records whose suffixes are sampled to lay the fences (this affects only how even the ranges are).
 FENCE_RECORDS = 4_000
+#: Suffixes of a batch for which there is a group of records whose matches are added up together.
+GROUP_PLACES = 150_000
 #: Pairs up to which the pairs of a batch are broadcast (16 bytes each).
 BROADCAST_PAIRS = 200_000
 
@@ -49,8 +51,9 @@ _NEED = int(LEAST_COVER * _ALL)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SHORT_KEYS, _WHOLE_KEYS = np.uint64(1 << 60), np.uint64(2 << 60)
 _RECORD = "id long, batch_no int, whole long, whole2 long, codes binary"
+_FOUND = "group int, inside boolean, range int, ids binary, kept_ids binary, shares binary, hot_ids binary, hot_keys binary, hot_shares binary, hot_n binary"
+_WEIGHED = "kind string, id long, kept_id long, share int, inside boolean, key long, range int, missing int"
 _BLOCK = "range int, size long, keys binary, ids binary, shares binary, more_keys binary, more_ids binary, more_shares binary"
-_COLUMNS = _BLOCK.replace(",", "").split()[::2]
 
 
 def records_of(rows: DataFrame) -> DataFrame:
@@ -138,20 +141,28 @@ def suffixes(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return keys[first], owners[first], np.minimum(np.add.reduceat(shares, first), _ALL)
 
 
-def _cut(values: np.ndarray, of: np.ndarray) -> dict[int, np.ndarray]:
-    """Indices of ``values`` by the number they have in ``of``."""
+def _cut(of: np.ndarray) -> dict[int, np.ndarray]:
+    """The indices at which each number stands in ``of``."""
     order = np.argsort(of, kind="stable")
     numbers, begin = np.unique(of[order], return_index=True)
     return dict(zip(numbers.tolist(), np.split(order, begin[1:])))
 
 
+def _group(ids: np.ndarray, groups: int) -> np.ndarray:
+    return ((ids.astype(np.uint64) * _MULTIPLIER) >> np.uint64(40)).astype(np.int64) % groups
+
+
+def _names(schema: str) -> list[str]:
+    return schema.replace(",", "").split()[::2]
+
+
 def _pack(number: int, entries: tuple, more: tuple) -> tuple:
     kinds = ("<u8", "<i8", "<u2")
     return (number, len(entries[0]), *(a.astype(t).tobytes() for a, t in zip(entries, kinds)), *(a.astype(t).tobytes() for a, t in zip(more, kinds)))
 
 
-def _unpack(row, prefix: str = "", names: tuple = ("keys", "ids", "shares")) -> tuple[np.ndarray, ...]:
-    return tuple(np.frombuffer(getattr(row, prefix + name), t) for name, t in zip(names, ("<u8", "<i8", "<u2")))
+def _unpack(row, names: tuple = ("keys", "ids", "shares"), kinds: tuple = ("<u8", "<i8", "<u2")) -> tuple[np.ndarray, ...]:
+    return tuple(np.frombuffer(getattr(row, name), kind) for name, kind in zip(names, kinds))
 
 
 _MORE = ("more_keys", "more_ids", "more_shares")
@@ -160,7 +171,7 @@ _MORE = ("more_keys", "more_ids", "more_shares")
 def _join_blocks(number: int, parts: list) -> tuple:
     """One sorted block of the blocks ``parts`` of a range."""
     keys, ids, shares = (np.concatenate(a) for a in zip(*(_unpack(p) for p in parts)))
-    more = tuple(np.concatenate(a) for a in zip(*(_unpack(p, names=_MORE) for p in parts)))
+    more = tuple(np.concatenate(a) for a in zip(*(_unpack(p, _MORE) for p in parts)))
     order = np.lexsort((ids, keys))
     return _pack(number, (keys[order], ids[order], shares[order]), more)
 
@@ -253,26 +264,25 @@ class History:
                 spread = np.repeat(wide, (high - low + 1)[wide])
                 to = low[spread] + np.arange(len(spread)) - np.repeat(np.cumsum((high - low + 1)[wide]) - (high - low + 1)[wide], (high - low + 1)[wide])
                 spread, to = spread[to != own[spread]], to[to != own[spread]]
-                entries, more = _cut(keys, own), _cut(keys, to)
+                entries, more = _cut(own), _cut(to)
                 nothing = np.zeros(0, np.int64)
                 rows = []
                 for number in entries.keys() | more.keys():
                     e, m = entries.get(number, nothing), spread[more.get(number, nothing)]
                     rows.append(_pack(number, (keys[e], ids[e], shares[e]), (keys[m], ids[m], shares[m])))
-                yield pd.DataFrame(rows, columns=_COLUMNS)
+                yield pd.DataFrame(rows, columns=_names(_BLOCK))
 
         def merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame([_join_blocks(int(key[0]), list(parts.itertuples()))], columns=_COLUMNS)
+            return pd.DataFrame([_join_blocks(int(key[0]), list(parts.itertuples()))], columns=_names(_BLOCK))
 
         made = records.select("id", "codes").mapInPandas(make, _BLOCK)
         return self._save(made.repartition(self.buckets, "range").groupBy("range").applyInPandas(merge, _BLOCK))
 
-    def _push(self, name: str) -> None:
-        """Adds a segment, merged with those before it that are less than twice as large."""
-        size = self.spark.table(name).agg(F.sum("size")).first()[0] or 0
+    def _push(self, name: str, size: int) -> None:
+        """Adds a segment of ``size`` suffixes, merged with those before it that are less than twice as large."""
         while self.segments and self.segments[-1][0] < 2 * size:
             old_size, old = self.segments.pop()
-            theirs = self.spark.table(old).select("range", *(F.col(c).alias(f"old_{c}") for c in _COLUMNS[1:]))
+            theirs = self.spark.table(old).select("range", *(F.col(c).alias(f"old_{c}") for c in _names(_BLOCK)[1:]))
             both = self.spark.table(name).join(theirs.hint("shuffle_hash"), "range", "full")
 
             def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -281,7 +291,7 @@ class History:
                     for row in batch.itertuples():
                         blocks = [(getattr(row, f"{prefix}keys"), getattr(row, f"{prefix}ids"), getattr(row, f"{prefix}shares")) for prefix in ("", "old_")]
                         rows.append(_join_blocks(row.range, [_Entries(*block) for block in blocks if block[0] is not None]))
-                    yield pd.DataFrame(rows, columns=_COLUMNS)
+                    yield pd.DataFrame(rows, columns=_names(_BLOCK))
 
             merged = self._save(both.mapInPandas(merge, _BLOCK))
             self.spark.sql(f"DROP TABLE {name}")
@@ -291,48 +301,55 @@ class History:
 
     # --- matches -------------------------------------------------------------------------------
 
-    def _look_up(self, batch: str, segment: str) -> DataFrame:
-        """``(id, kept_id, share, key, range, n)``: the matches of a batch's suffixes with a segment's, found by binary search.
+    def _look_up(self, batch: str, segment: str, groups: int) -> DataFrame:
+        """The matches of a batch's suffixes with a segment's, found by binary search, packed by groups of the batch's records.
 
-        Of more than ``HOT`` equal suffixes only the lowest ids come, and a row without ``kept_id`` that tells how many there are.
+        Of more than ``HOT`` equal suffixes only the lowest ids come, and how many there are.
         """
+        inside = batch == segment
         mine = self.spark.table(batch)
         theirs = self.spark.table(segment).select("range", F.col("keys").alias("old_keys"), F.col("ids").alias("old_ids"))
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for blocks in batches:
                 for row in blocks.itertuples():
-                    own, more = _unpack(row), _unpack(row, names=_MORE)
-                    keys, ids, shares = (np.concatenate(a) for a in zip(own, more))
+                    keys, ids, shares = (np.concatenate(a) for a in zip(_unpack(row), _unpack(row, _MORE)))
                     old_keys, old_ids = np.frombuffer(row.old_keys, "<u8"), np.frombuffer(row.old_ids, "<i8")
                     low, high = np.searchsorted(old_keys, keys, "left"), np.searchsorted(old_keys, keys, "right")
                     n = high - low
                     who, at = _spread(low, np.minimum(n, HOT))
                     lower = old_ids[at] < ids[who]
-                    who, kept = who[lower], old_ids[at[lower]]
-                    yield pd.DataFrame({"id": ids[who], "kept_id": kept, "share": shares[who].astype(np.int32), "key": None, "range": None, "n": None})
+                    who, at = who[lower], at[lower]
                     hot = np.flatnonzero(n > HOT)
-                    if len(hot):
-                        yield pd.DataFrame({"id": ids[hot], "kept_id": None, "share": shares[hot].astype(np.int32), "key": keys[hot].view(np.int64), "range": row.range, "n": n[hot]})
+                    group = _group(ids, groups)
+                    cold_of, hot_of, nothing, rows = _cut(group[who]), _cut(group[hot]), np.zeros(0, np.int64), []
+                    for number in cold_of.keys() | hot_of.keys():
+                        c, h = cold_of.get(number, nothing), hot[hot_of.get(number, nothing)]
+                        cold = (ids[who[c]], old_ids[at[c]], shares[who[c]])
+                        common = (ids[h], keys[h], shares[h], n[h])
+                        rows.append((number, inside, row.range, *(x.astype(t).tobytes() for x, t in zip((*cold, *common), ("<i8", "<i8", "<u2", "<i8", "<u8", "<u2", "<i8")))))
+                    yield pd.DataFrame(rows, columns=_names(_FOUND))
 
-        return mine.join(theirs, "range").mapInPandas(search, "id long, kept_id long, share int, key long, range int, n long")
+        return mine.join(theirs, "range").mapInPandas(search, _FOUND)
 
     def _look_up_rest(self, wanted: DataFrame, segment: str) -> DataFrame:
         """``(id, kept_id, share)``: what ``_look_up`` left out for the suffixes ``wanted`` (``id``, ``key``, ``range``, ``share``, ``bound``), as far as it is below the bound."""
-        asked = wanted.repartition(self.buckets, "range").groupBy("range").agg(F.collect_list(F.struct("id", "key", "share", "bound")).alias("asked")).select("range", *(F.col(f"asked.{c}").alias(c) for c in ("id", "key", "share", "bound")))
+        columns = ("id", "key", "share", "bound")
+        asked = wanted.repartition(self.buckets, "range").groupBy("range").agg(F.collect_list(F.struct(*columns)).alias("asked")).select("range", *(F.col(f"asked.{c}").alias(c) for c in columns))
         theirs = self.spark.table(segment).select("range", "keys", "ids")
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for blocks in batches:
                 for row in blocks.itertuples():
                     old_keys, old_ids = np.frombuffer(row.keys, "<u8"), np.frombuffer(row.ids, "<i8")
-                    keys = np.asarray(row.key, np.int64).view(np.uint64)
-                    lows, highs = np.searchsorted(old_keys, keys, "left") + HOT, np.searchsorted(old_keys, keys, "right")
-                    for low, high, own, share, bound in zip(lows, highs, row.id, row.share, row.bound):
-                        kept = old_ids[low:high]
-                        kept = kept[: np.searchsorted(kept, bound)]
-                        if len(kept):
-                            yield pd.DataFrame({"id": own, "kept_id": kept, "share": share})
+                    ids, keys, shares, bounds = (np.asarray(a, np.int64) for a in (row.id, row.key, row.share, row.bound))
+                    low = np.searchsorted(old_keys, keys.view(np.uint64), "left") + HOT
+                    n = np.maximum(np.searchsorted(old_keys, keys.view(np.uint64), "right") - low, 0)
+                    for part in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(np.cumsum(n) // 1_000_000)) + 1):
+                        who, at = _spread(low[part], n[part])
+                        below = old_ids[at] < bounds[part][who]
+                        who, at = who[below], at[below]
+                        yield pd.DataFrame({"id": ids[part][who], "kept_id": old_ids[at], "share": shares[part][who]})
 
         return asked.join(theirs, "range").mapInPandas(search, "id long, kept_id long, share int")
 
@@ -352,42 +369,31 @@ class History:
 
         return both.select("kept_id", "kept_codes", "id", "codes", "inside").mapInPandas(compare, "kept_id long, id long, inside boolean")
 
-    def _repeats(self, batch: str) -> DataFrame:
+    def _repeats(self, batch: str, size: int) -> DataFrame:
         """``(kept_id, id, inside)`` of every record of ``batch`` that is like a lower record of the history or of its own batch (``inside``).
 
-        Two records are compared if the matches between them cover ``LEAST_COVER`` of the new one.
-        Where common suffixes, whose matches are not all known at first, could fill up what a pair lacks, it is compared as well;
-        where they are so many that they alone could, they are looked up in full, but for the commonest that
-        together can't reach half of what is needed.  Of a record that is like one of the history, pairs above
-        the lowest of those can be missing: it is a case of that one or of a lower one.
+        Two records are compared if the matches between them cover ``LEAST_COVER`` of the new one, common
+        suffixes, whose matches are not all known at first, included (``_weigh``).  Of a record that is like one of
+        the history, pairs above the lowest of those can be missing: it is a case of that one or of a lower one.
         """
-        tables = [(batch, True)] + [(name, False) for _, name in self.segments]
-        matches = self._together([self._look_up(batch, name).withColumn("inside", F.lit(own)) for name, own in tables])
-        matches = self._write(matches)
+        tables = [batch] + [name for _, name in self.segments]
+        groups = max(2, -(-size // GROUP_PLACES))
+        packed = self._together([self._look_up(batch, name, groups) for name in tables])
+        weighed = self._write(packed.groupBy("group").applyInPandas(_weigh, _WEIGHED))
         cases = self.cases.select(F.col("chunk_id").alias("kept_id"))
-        common = matches.filter("kept_id is null").groupBy("id", "key").agg(F.max("share").alias("share"), F.sum("n").alias("n"), F.collect_set("range").alias("ranges"))
-        known = matches.filter("kept_id is not null").select("kept_id", "id", "share", "inside")
-        counted = known.groupBy("kept_id", "id").agg(F.sum("share").alias("share"), F.max("inside").alias("inside"))
-        lacks = F.when(F.coalesce("common", F.lit(0)) < _NEED // 2, _NEED - F.coalesce("common", F.lit(0))).otherwise(_NEED)
-        first = counted.filter(F.col("share") >= _NEED // 2).join(common.groupBy("id").agg(F.sum("share").alias("common")), "id", "left").filter(F.col("share") >= lacks)
-        first = self._write(first.join(cases, "kept_id", "left_anti").select("kept_id", "id", "inside"))
-        like = self._write(self._alike(first))
-
-        own = Window.partitionBy("id")
-        left_out = F.col("left_out") < _NEED // 2
-        heavy = common.withColumns({"left_out": F.sum("share").over(own.orderBy(F.desc("n"), "key")), "common": F.sum("share").over(own)}).filter(F.col("common") >= _NEED // 2)
-        heavy = heavy.withColumn("missing", F.coalesce(F.max(F.when(left_out, F.col("left_out"))).over(own), F.lit(0)))
-        bounds = like.filter("not inside").groupBy("id").agg(F.min("kept_id").alias("bound"))
-        wanted = heavy.filter(~left_out).join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", "id"))
-        wanted = self._write(wanted.select("id", "key", F.explode("ranges").alias("range"), F.col("share").cast("int").alias("share"), "bound", "missing"))
+        first = weighed.filter("kind = 'pair'").select("kept_id", "id", "inside")
+        like = self._write(self._alike(first).join(cases, "kept_id", "left_anti"))
+        wanted = weighed.filter("kind = 'wanted'").select("id", "key", "range", "share", "missing")
         if wanted.isEmpty():
             return like
-        asked = wanted.groupBy("id").agg(F.max("bound").alias("bound"), F.max("missing").alias("missing"))
-        rest = self._together([known.join(asked.select("id"), "id", "left_semi"), *(self._look_up_rest(wanted, name).withColumn("inside", F.lit(own)) for name, own in tables)])
-        rest = rest.groupBy("kept_id", "id").agg(F.sum("share").alias("share"), F.max("inside").alias("inside")).join(asked, "id")
+        bounds = like.filter("not inside").groupBy("id").agg(F.min("kept_id").alias("bound"))
+        wanted = self._write(wanted.join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", "id")))
+        rest = [self._look_up_rest(wanted, name).withColumn("inside", F.lit(name == batch)) for name in tables]
+        rest = self._together([weighed.filter("kind = 'share'").select("id", "kept_id", "share", "inside"), *rest]).groupBy("kept_id", "id").agg(F.sum("share").alias("share"), F.max("inside").alias("inside"))
+        rest = rest.filter(F.col("share") >= _NEED // 2).join(wanted.groupBy("id").agg(F.max("bound").alias("bound"), F.max("missing").alias("missing")), "id")
         rest = rest.filter((F.col("share") >= _NEED - F.col("missing")) & (F.col("kept_id") < F.col("bound"))).select("kept_id", "id", "inside")
-        rest = self._write(rest.join(first, ["kept_id", "id"], "left_anti").join(cases, "kept_id", "left_anti"))
-        return like.unionByName(self._alike(rest))
+        rest = self._write(rest.join(first, ["kept_id", "id"], "left_anti"))
+        return like.unionByName(self._alike(rest).join(cases, "kept_id", "left_anti"))
 
     @staticmethod
     def _together(parts: list[DataFrame]) -> DataFrame:
@@ -409,11 +415,12 @@ class History:
         repeated = records.groupBy("whole", "whole2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
         copies = self._write(records.select("id", "whole", "whole2").join(repeated, ["whole", "whole2"]).filter("id != first").select("id", "first"))
         batch = self._segment(records.join(copies, "id", "left_anti"))
+        size = self.spark.table(batch).agg(F.sum("size")).first()[0] or 0
         if not accept_all:
-            new = self._decide(self._write(self._repeats(batch)))
+            new = self._decide(self._write(self._repeats(batch, size)))
             again = copies.join(new.withColumnRenamed("chunk_id", "first"), "first", "left").select(F.coalesce("kept_id", "first").alias("kept_id"), F.col("id").alias("chunk_id"))
             self.cases = self._write(self._together([self.cases, new, again]))
-        self._push(batch)
+        self._push(batch, size)
 
     def _decide(self, pairs: DataFrame) -> DataFrame:
         cases = pairs.filter("not inside").groupBy("id").agg(F.min("kept_id").alias("kept_id")).select("kept_id", F.col("id").alias("chunk_id"))
@@ -434,6 +441,39 @@ def _spread(low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return who, np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + low[who]
 
 
+def _weigh(found: pd.DataFrame) -> pd.DataFrame:
+    """What the matches of a group of records come to, as rows of several kinds.
+
+    A ``pair`` is to be compared: matches cover enough of it, or would, if all common suffixes of
+    the record were matches, too, provided these are less than half of what is needed.  Where they are more,
+    those ``wanted`` are to be looked up in full: all but the commonest, which together (``missing``)
+    stay under that half.  For these records the other pairs' shares come as well (``share``).
+    """
+    rows = list(found.itertuples())
+    cold = [(*_unpack(r, ("ids", "kept_ids", "shares"), ("<i8", "<i8", "<u2")), r.inside) for r in rows]
+    ids, kept, shares = (np.concatenate([c[k] for c in cold]).astype(np.int64) for k in range(3))
+    inside = np.repeat([c[3] for c in cold], [len(c[0]) for c in cold])
+    order = np.lexsort((kept, ids))
+    ids, kept, shares, inside = ids[order], kept[order], shares[order], inside[order]
+    begin = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (kept[1:] != kept[:-1]))) if len(ids) else np.zeros(0, np.int64)
+    pairs = pd.DataFrame({"id": ids[begin], "kept_id": kept[begin], "share": np.add.reduceat(shares, begin) if len(begin) else begin, "inside": inside[begin]})
+
+    hot = [(*_unpack(r, ("hot_ids", "hot_keys", "hot_shares", "hot_n"), ("<i8", "<u8", "<u2", "<i8")), r.range) for r in rows]
+    common = pd.DataFrame({"id": np.concatenate([h[0] for h in hot]), "key": np.concatenate([h[1] for h in hot]).view(np.int64), "share": np.concatenate([h[2] for h in hot]).astype(np.int64), "n": np.concatenate([h[3] for h in hot]), "range": np.repeat([h[4] for h in hot], [len(h[0]) for h in hot])})
+    keys = common.groupby(["id", "key"], as_index=False).agg(share=("share", "max"), n=("n", "sum")).sort_values(["id", "n", "key"], ascending=[True, False, True])
+    keys["common"] = keys.groupby("id")["share"].transform("sum")
+    keys["left_out"] = keys.groupby("id")["share"].cumsum()
+    keys["missing"] = keys["left_out"].where(keys["left_out"] < _NEED // 2, 0).groupby(keys["id"]).transform("max")
+    heavy = keys[keys["common"] >= _NEED // 2]
+
+    lacks = _NEED - pairs["id"].map(keys.drop_duplicates("id").set_index("id")["common"]).fillna(0)
+    is_heavy = pairs["id"].isin(heavy["id"])
+    chosen = pairs["share"] >= lacks.where(~is_heavy, _NEED)
+    wanted = heavy.loc[heavy["left_out"] >= _NEED // 2, ["id", "key", "share", "missing"]].merge(common[["id", "key", "range"]].drop_duplicates(), on=["id", "key"])
+    out = pd.concat([pairs[chosen].assign(kind="pair"), wanted.assign(kind="wanted"), pairs[is_heavy].assign(kind="share")])
+    return out.reindex(columns=_names(_WEIGHED)).astype({"kept_id": "Int64", "share": "Int32", "key": "Int64", "range": "Int32", "missing": "Int32", "inside": "boolean"})
+
+
 class _Entries(NamedTuple):
     """A block's entries, without any that only look."""
 
