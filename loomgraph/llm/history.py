@@ -37,11 +37,13 @@ LEAST_COVER, LEAST_LIKE = 0.15, 0.7
 #: Of more equal suffixes than this in one block the lowest ids are met first, and the others as far as they still can matter.
 HOT = 64
 #: Suffixes of all records for which a segment has a bucket; a bucket has four ranges.
-BUCKET_PLACES = 400_000
+BUCKET_PLACES = 800_000
 #: Records whose suffixes are sampled to lay the fences (this affects only how even the ranges are).
 FENCE_RECORDS = 4_000
 #: Suffixes of a batch for which there is a group of records whose matches are added up together.
 GROUP_PLACES = 150_000
+#: Matches of common suffixes up to which they are all looked up without first finding bounds for them (same results).
+REST_AT_ONCE = 1_000_000
 #: Pairs up to which the pairs of a batch are broadcast (16 bytes each).
 BROADCAST_PAIRS = 200_000
 
@@ -52,7 +54,7 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SHORT_KEYS, _WHOLE_KEYS = np.uint64(1 << 60), np.uint64(2 << 60)
 _RECORD = "id long, batch_no int, whole long, whole2 long, codes binary"
 _FOUND = "group int, inside boolean, range int, ids binary, kept_ids binary, shares binary, hot_ids binary, hot_keys binary, hot_shares binary, hot_n binary"
-_WEIGHED = "kind string, id long, kept_id long, share int, inside boolean, key long, range int, missing int"
+_WEIGHED = "kind string, id long, kept_id long, share int, inside boolean, key long, range int, missing int, n long"
 _BLOCK = "range int, size long, keys binary, ids binary, shares binary, more_keys binary, more_ids binary, more_shares binary"
 
 
@@ -353,14 +355,13 @@ class History:
 
         return asked.join(theirs, "range").mapInPandas(search, "id long, kept_id long, share int")
 
-    def _alike(self, pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (written: ``kept_id``, ``id``, ``inside``) whose texts are alike."""
+    def _alike(self, pairs: DataFrame, records: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (written: ``kept_id``, ``id`` of one of ``records``, ``inside``) whose texts are alike."""
         few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
         sent = F.broadcast(pairs) if few else pairs
-        codes = self.records.select("id", "codes")
-        kept = codes.withColumnsRenamed({"id": "kept_id", "codes": "kept_codes"}).join(sent, "kept_id")
+        kept = self.records.select(F.col("id").alias("kept_id"), F.col("codes").alias("kept_codes")).join(sent, "kept_id")
         ids = pairs.select("id").distinct()
-        both = kept.join(codes.join(F.broadcast(ids) if few else ids, "id", "left_semi").hint("shuffle_hash"), "id")
+        both = kept.join(records.select("id", "codes").join(F.broadcast(ids) if few else ids, "id", "left_semi").hint("shuffle_hash"), "id")
 
         def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -369,8 +370,8 @@ class History:
 
         return both.select("kept_id", "kept_codes", "id", "codes", "inside").mapInPandas(compare, "kept_id long, id long, inside boolean")
 
-    def _repeats(self, batch: str, size: int) -> DataFrame:
-        """``(kept_id, id, inside)`` of every record of ``batch`` that is like a lower record of the history or of its own batch (``inside``).
+    def _repeats(self, records: DataFrame, batch: str, size: int) -> DataFrame:
+        """``(kept_id, id, inside)`` of every one of ``records``, whose segment ``batch`` has ``size`` suffixes, that is like a lower record of the history or of its own batch (``inside``).
 
         Two records are compared if the matches between them cover ``LEAST_COVER`` of the new one, common
         suffixes, whose matches are not all known at first, included (``_weigh``).  Of a record that is like one of
@@ -381,19 +382,26 @@ class History:
         packed = self._together([self._look_up(batch, name, groups) for name in tables])
         weighed = self._write(packed.groupBy("group").applyInPandas(_weigh, _WEIGHED))
         cases = self.cases.select(F.col("chunk_id").alias("kept_id"))
-        first = weighed.filter("kind = 'pair'").select("kept_id", "id", "inside")
-        like = self._write(self._alike(first).join(cases, "kept_id", "left_anti"))
+        pairs = weighed.filter("kind = 'pair'").select("kept_id", "id", "inside")
+        to_come = weighed.filter("kind = 'wanted'").agg(F.sum("n")).first()[0] or 0
+        if not to_come:
+            return self._alike(pairs, records).join(cases, "kept_id", "left_anti")
         wanted = weighed.filter("kind = 'wanted'").select("id", "key", "range", "share", "missing")
-        if wanted.isEmpty():
-            return like
-        bounds = like.filter("not inside").groupBy("id").agg(F.min("kept_id").alias("bound"))
-        wanted = self._write(wanted.join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", "id")))
+        like = None
+        if to_come <= REST_AT_ONCE:
+            wanted = wanted.withColumn("bound", F.col("id"))
+        else:
+            like = self._write(self._alike(pairs, records).join(cases, "kept_id", "left_anti"))
+            bounds = like.filter("not inside").groupBy("id").agg(F.min("kept_id").alias("bound"))
+            wanted = self._write(wanted.join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", "id")))
         rest = [self._look_up_rest(wanted, name).withColumn("inside", F.lit(name == batch)) for name in tables]
         rest = self._together([weighed.filter("kind = 'share'").select("id", "kept_id", "share", "inside"), *rest]).groupBy("kept_id", "id").agg(F.sum("share").alias("share"), F.max("inside").alias("inside"))
         rest = rest.filter(F.col("share") >= _NEED // 2).join(wanted.groupBy("id").agg(F.max("bound").alias("bound"), F.max("missing").alias("missing")), "id")
         rest = rest.filter((F.col("share") >= _NEED - F.col("missing")) & (F.col("kept_id") < F.col("bound"))).select("kept_id", "id", "inside")
-        rest = self._write(rest.join(first, ["kept_id", "id"], "left_anti"))
-        return like.unionByName(self._alike(rest).join(cases, "kept_id", "left_anti"))
+        if like is None:
+            return self._alike(self._write(pairs.unionByName(rest).distinct()), records).join(cases, "kept_id", "left_anti")
+        rest = self._write(rest.join(pairs, ["kept_id", "id"], "left_anti"))
+        return like.unionByName(self._alike(rest, records).join(cases, "kept_id", "left_anti"))
 
     @staticmethod
     def _together(parts: list[DataFrame]) -> DataFrame:
@@ -417,7 +425,7 @@ class History:
         batch = self._segment(records.join(copies, "id", "left_anti"))
         size = self.spark.table(batch).agg(F.sum("size")).first()[0] or 0
         if not accept_all:
-            new = self._decide(self._write(self._repeats(batch, size)))
+            new = self._decide(self._write(self._repeats(records, batch, size)))
             again = copies.join(new.withColumnRenamed("chunk_id", "first"), "first", "left").select(F.coalesce("kept_id", "first").alias("kept_id"), F.col("id").alias("chunk_id"))
             self.cases = self._write(self._together([self.cases, new, again]))
         self._push(batch, size)
@@ -469,9 +477,11 @@ def _weigh(found: pd.DataFrame) -> pd.DataFrame:
     lacks = _NEED - pairs["id"].map(keys.drop_duplicates("id").set_index("id")["common"]).fillna(0)
     is_heavy = pairs["id"].isin(heavy["id"])
     chosen = pairs["share"] >= lacks.where(~is_heavy, _NEED)
-    wanted = heavy.loc[heavy["left_out"] >= _NEED // 2, ["id", "key", "share", "missing"]].merge(common[["id", "key", "range"]].drop_duplicates(), on=["id", "key"])
-    out = pd.concat([pairs[chosen].assign(kind="pair"), wanted.assign(kind="wanted"), pairs[is_heavy].assign(kind="share")])
-    return out.reindex(columns=_names(_WEIGHED)).astype({"kept_id": "Int64", "share": "Int32", "key": "Int64", "range": "Int32", "missing": "Int32", "inside": "boolean"})
+    wanted = heavy.loc[heavy["left_out"] >= _NEED // 2, ["id", "key", "share", "missing"]].merge(common[["id", "key", "range", "n"]].drop_duplicates(["id", "key", "range"]), on=["id", "key"])
+    kinds = {"kept_id": "Int64", "share": "Int32", "key": "Int64", "range": "Int32", "missing": "Int32", "n": "Int64", "inside": "boolean"}
+    parts = [pairs[chosen].assign(kind="pair"), wanted.assign(kind="wanted"), pairs[is_heavy].assign(kind="share")]
+    parts = [part.assign(**{name: None for name in kinds if name not in part}).astype(kinds) for part in parts]  # before they are joined: keys are no floats
+    return pd.concat(parts)[_names(_WEIGHED)]
 
 
 class _Entries(NamedTuple):

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from conftest import rows
 
@@ -123,7 +124,9 @@ def lowest_alike(history_texts, text):
     return next(k for k, other in enumerate(history_texts, 1) if likeness(other, text) >= history.LEAST_LIKE)
 
 
-def test_histories_of_common_sentences(spark):
+@pytest.mark.parametrize("at_once", [0, 1_000_000])
+def test_histories_of_common_sentences(spark, monkeypatch, at_once):
+    monkeypatch.setattr(history, "REST_AT_ONCE", at_once)
     for n, count, seed in ((400, 12, 3), (3_000, 24, 4)):
         texts = sentences(n, count, seed)
         rng = random.Random(seed)
