@@ -23,9 +23,9 @@ _WORD = r"[A-Za-z_$\u0080-\U0010ffff][\w$\u0080-\U0010ffff]*"
 _NUMBER = r"(?:0[xXbBoO][0-9a-fA-F_]+|(?:[0-9][0-9_]*\.?[0-9_]*|\.[0-9][0-9_]*)(?:[eE][+-]?[0-9]+)?)[nij]?"
 _CONFLICT = r"^(?:<{7}|={7}|>{7}|\|{7})(?=[ \t\r\n]|\Z)[^\n]*"
 _ES = re.compile(
-    rf"""(?P<ws>[ \t\r\n\f\v﻿ ]+)|(?P<conf>{_CONFLICT})|(?P<com>//[^\n]*|/\*[\s\S]*?\*/)|(?P<open>/\*)
-    |(?P<str>"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*')|(?P<num>{_NUMBER})(?![\w$])|(?P<id>[#]?{_WORD})|(?P<tick>`)
-    |(?P<op>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?![0-9])|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[{{}}()\[\];,<>+\-*/%&|^!~?:=.@])|(?P<bad>[\s\S])""",
+    rf"""[ \t\r\n\f\v﻿ ]*(?:(?P<id>[#]?{_WORD})|(?P<conf>{_CONFLICT})|(?P<com>//[^\n]*|/\*[\s\S]*?\*/)|(?P<open>/\*)
+    |(?P<str>"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*')|(?P<num>{_NUMBER})(?![\w$])|(?P<tick>`)
+    |(?P<op>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?![0-9])|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[{{}}()\[\];,<>+\-*/%&|^!~?:=.@])|(?P<bad>[\s\S])|(?P<end>\Z))""",
     re.MULTILINE | re.VERBOSE,
 )
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
@@ -91,11 +91,10 @@ def _lex_es(text: str, markup: bool) -> list[Token]:
             at = m.end()
             continue
         m = _ES.match(text, at)
-        kind, token = m.lastgroup, m.group()
-        end = m.end()
-        if kind == "ws":
-            at = end
-            continue
+        kind, end = m.lastgroup, m.end()
+        token, at = m.group(kind), m.start(kind)
+        if kind == "end":
+            break
         if kind == "com":
             out.append(("com", token, at))
             at = end
@@ -142,10 +141,10 @@ def _lex_es(text: str, markup: bool) -> list[Token]:
 
 
 _PY = re.compile(
-    rf"""(?P<ws>[ \t\f﻿]+|\\\r?\n)|(?P<nl>\r?\n|\r)|(?P<conf>{_CONFLICT})|(?P<com>\#[^\n\r]*)
+    rf"""(?:[ \t\f﻿]+|\\\r?\n)*(?:(?P<nl>\r?\n|\r)|(?P<conf>{_CONFLICT})|(?P<com>\#[^\n\r]*)
     |(?P<str>(?:[rRbBuUfF]{{0,2}})(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|"(?!"")(?:[^"\\\n]|\\[\s\S])*"|'(?!'')(?:[^'\\\n]|\\[\s\S])*'))
     |(?P<num>(?!0[0-9_]*[1-9]){_NUMBER}|0[0-9_]*\.[0-9_]*)(?![\w])|(?P<id>[^\W\d]\w*)
-    |(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|->|:=|==|!=|<=|>=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|\*\*|//|<<|>>|[()\[\]{{}},:.;@=+\-*/%&|^~<>])|(?P<bad>[\s\S])""",
+    |(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|->|:=|==|!=|<=|>=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|\*\*|//|<<|>>|[()\[\]{{}},:.;@=+\-*/%&|^~<>])|(?P<bad>[\s\S])|(?P<end>\Z))""",
     re.MULTILINE | re.VERBOSE,
 )
 _BLOCKS = frozenset("def class if elif else for while with try except finally async match case".split())
@@ -158,8 +157,10 @@ def _lex_py(text: str) -> list[Token]:
     fresh, opener, first, tested = True, "", "", ""
     while at < size:
         m = _PY.match(text, at)
-        kind, token = m.lastgroup, m.group()
-        start, at = at, m.end()
+        kind = m.lastgroup
+        token, start, at = m.group(kind), m.start(kind), m.end()
+        if kind == "end":
+            break
         if kind == "com":
             out.append(("com", token, start))
             continue
@@ -175,8 +176,6 @@ def _lex_py(text: str) -> list[Token]:
                 out.append((line_end, "\n", start))
                 fresh = True
             continue
-        if kind == "ws":
-            continue
         if fresh:
             line = text.rfind("\n", 0, start) + 1
             column = len(text[line:start].replace("﻿", "").expandtabs(8))
@@ -221,9 +220,9 @@ def _last(out: list[Token]) -> str:
 
 
 _GO = re.compile(
-    rf"""(?P<ws>[ \t\r\f﻿]+)|(?P<nl>\n)|(?P<conf>{_CONFLICT})|(?P<com>//[^\n]*|/\*[\s\S]*?\*/)|(?P<open>/\*)
+    rf"""[ \t\r\f﻿]*(?:(?P<nl>\n)|(?P<conf>{_CONFLICT})|(?P<com>//[^\n]*|/\*[\s\S]*?\*/)|(?P<open>/\*)
     |(?P<str>"(?:[^"\\\n]|\\.)*"|`[^`]*`|'(?:[^'\\\n]|\\(?:[0-7]{{3}}|x[0-9a-fA-F]{{2}}|u[0-9a-fA-F]{{4}}|U[0-9a-fA-F]{{8}}|.))')|(?P<num>{_NUMBER})(?![\w])|(?P<id>[^\W\d]\w*)
-    |(?P<op><<=|>>=|&\^=|\.\.\.|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[{{}}()\[\];,<>+\-*/%&|^!:=.~])|(?P<bad>[\s\S])""",
+    |(?P<op><<=|>>=|&\^=|\.\.\.|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[{{}}()\[\];,<>+\-*/%&|^!:=.~])|(?P<bad>[\s\S])|(?P<end>\Z))""",
     re.MULTILINE | re.VERBOSE,
 )
 _GO_LINE_END = frozenset(("break", "continue", "fallthrough", "return", "++", "--", ")", "]", "}"))
@@ -235,10 +234,10 @@ def _lex_go(text: str) -> list[Token]:
     at, size, last, last_kind = 0, len(text), "", ""
     while at < size:
         m = _GO.match(text, at)
-        kind, token = m.lastgroup, m.group()
-        start, at = at, m.end()
-        if kind == "ws":
-            continue
+        kind = m.lastgroup
+        token, start, at = m.group(kind), m.start(kind), m.end()
+        if kind == "end":
+            break
         if kind == "com":
             out.append(("com", token, start))
             if not (token.startswith("/*") and "\n" in token):
