@@ -189,7 +189,7 @@ def _lex_py(text: str) -> list[Token]:
                 if closed == "try" and not (column == indents[-1][0] and token in ("except", "finally")):  # a try needs its sequel
                     ok = False
                 out.append(("out" if ok else "bad", "", start))
-            if token in ("else", "elif", "except", "finally") and not closed and kind == "id" and not (out and _last(out) == ":"):
+            if token in ("else", "elif", "except", "finally") and not closed and first not in _BLOCKS and kind == "id" and not (out and _last(out) == ":"):
                 out.append(("bad", token, start))
             fresh, first, opener, tested = False, token if kind == "id" or token == "@" else "", "", ""
             if kind == "id" and token in _BLOCKS:
