@@ -10,12 +10,11 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.lexing import Token
 from loomgraph.llm import syntax
-from loomgraph.functions.lexing import Token, language_of, lex
 
 _PAIRS = {"(": ")", "[": "]", "{": "}"}
 #: Words of JavaScript and TypeScript before a parenthesis that declare nothing.
@@ -38,24 +37,29 @@ def matching(tokens: list[Token]) -> dict[int, int]:
     return out
 
 
+#: What may stand behind a comment that is alone on its line.
+_COMMENTS = re.compile(r"/\*.*?\*/|/\*.*|//.*|#.*")
+
+
 class Source:
     """A lexed file with its lines."""
 
-    def __init__(self, text: str, language: str):
+    def __init__(self, text: str, language: str, tokens: list[Token]):
         self.text, self.language = text, language
-        everything = lex(text, language)
         self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
-        self.tokens = [t for t in everything if t[0] != "com"]
+        self.tokens = [t for t in tokens if t[0] != "com"]
         self.comments: dict[int, list[tuple[int, str]]] = {}  # by last line: (first line, text), of comments alone on their lines
-        occupied: set[int] = set()
-        for kind, token, start in self.tokens:
-            if kind not in ("nl", "nl:", "nl@", "in", "out") and token:
-                occupied.update(range(self.line(start), self.line(start + len(token) - 1) + 1))
-        for kind, token, start in everything:
-            if kind == "com":
-                first, last = self.line(start), self.line(start + len(token) - 1)
-                if first not in occupied and last not in occupied:
-                    self.comments.setdefault(last, []).append((first, token))
+        others = 0  # where the latest token that is no comment ends
+        for kind, token, start in tokens:
+            if kind != "com":
+                if token and kind not in ("nl", "nl:", "nl@", "in", "out"):
+                    others = start + len(token)
+                continue
+            first, end = self.line(start), start + len(token)
+            last = self.line(end - 1)
+            after = text.find("\n", end)
+            if others <= self.starts[first] and not _COMMENTS.sub("", text[end : after if after >= 0 else len(text)]).strip():
+                self.comments.setdefault(last, []).append((first, token))
 
     def line(self, at: int) -> int:
         return bisect_right(self.starts, at) - 1
@@ -298,9 +302,9 @@ def _unquoted(literal: str) -> str:
     return m.group(2) if m else literal
 
 
-def functions(text: str, language: str) -> list[Function]:
+def functions(text: str, language: str, tokens: list[Token]) -> list[Function]:
     """The functions of a file that parses, in order."""
-    source = Source(text, language)
+    source = Source(text, language, tokens)
     return {"py": py_functions, "go": go_functions}.get(language, es_functions)(source)
 
 
@@ -357,6 +361,17 @@ def trivial(name: str, doc: str, signature: set[str]) -> bool:
     return True
 
 
+def documented(text: str, language: str, tokens: list[Token]) -> Iterator[Function]:
+    return (one for one in functions(text, language, tokens) if one[4] and not trivial(one[0], one[4], one[5]))
+
+
+def _of_good_files(files: DataFrame, of_file, schema: str) -> DataFrame:
+    """The rows that ``of_file`` makes of the files that parse, from one lexing for both; of a repeated file row once."""
+    whole = Window.partitionBy("row")
+    rows = syntax.judged(syntax.token_rows(files, of_file, schema)).withColumns({"bad": F.max("wrong").over(whole), "open": F.sum("step").over(whole)})
+    return rows.filter("name is not null and not bad and open = 0").dropDuplicates(["file_id", "name", "src_start"])
+
+
 def pairs(files: DataFrame) -> DataFrame:
     """``(file_id, name, label, src_start, src_end, code, doc)``: every function of a file that parses, with documentation that is not trivial.
 
@@ -365,21 +380,16 @@ def pairs(files: DataFrame) -> DataFrame:
     that is repeated counts once.
     """
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for file, path, text in zip(batch["file_id"], batch["path"], batch["content"]):
-                lines = text.split("\n")
-                for name, label, first, last, doc, signature in functions(text, language_of(path)):
-                    if doc and not trivial(name, doc, signature):
-                        rows.append((file, name, label, first, last, "\n".join(lines[first : last + 1]), clean(doc)))
-            yield pd.DataFrame(rows, columns=["file_id", "name", "label", "src_start", "src_end", "code", "doc"])
+    def extract(text: str, language: str, tokens: list[Token]) -> Iterator[tuple]:
+        lines = text.split("\n")
+        for name, label, first, last, doc, _ in documented(text, language, tokens):
+            yield name, label, first, last, "\n".join(lines[first : last + 1]), clean(doc)
 
-    read = files.select(F.col("id").cast("long").alias("file_id"), "path", "content").filter("file_id is not null and path is not null and content is not null and content != ''")
-    made = read.filter(syntax.extension_language(F.col("path")).isNotNull()).mapInPandas(extract, "file_id long, name string, label string, src_start long, src_end long, code string, doc string")
-    return made.join(syntax.found(files), "file_id", "left_anti").dropDuplicates(["file_id", "name", "src_start"])
+    made = _of_good_files(files, extract, "name string, label string, src_start long, src_end long, code string, doc string")
+    return made.select("file_id", "name", "label", "src_start", "src_end", "code", "doc")
 
 
 def found(files: DataFrame) -> DataFrame:
     """``(file_id, name, src_start)`` of every documented function."""
-    return pairs(files).select("file_id", "name", "src_start")
+    made = _of_good_files(files, lambda *file: [(name, first) for name, _, first, *_ in documented(*file)], "name string, src_start long")
+    return made.select("file_id", "name", "src_start")

@@ -174,6 +174,27 @@ def test_syntax(spark):
     assert syntax.found(df.limit(0)).count() == 0
 
 
+#: Statements that are no sentence of their language although all their neighbouring tokens are.
+UNSOUND = {
+    "js": ["try { a(); }", "for (let i = 0; i < 3) {}", "const x;", "if (a) { b(); } else { c(); } else { d(); }", "case 3: a();", "let x = a ? b;", "do { } b();", "f(a ? b, c);", "if (a) { } catch (e) { }", "x = { case: 1, ...{ a ? b } }"],
+    "ts": ["try { a(); }", "for (let i = 0; i < 3) {}", "const x;", "else { }", "do { } b();"],
+    "py": ["if x = 3:\n    pass", "x = a if b", "f = lambda x", "for x:\n    pass", "def f(a=1, b):\n    pass", "return x = 3", "y = [a if b, c]"],
+    "go": ["package p\n\nfunc f() {\n\tvar x\n}", "package p\n\nfunc f() {\n\tfor i := 0; i < 3 {\n\t}\n}", "package p\n\nfunc f(a int b int) {\n}", 'package p\n\nfunc f() {\n}\n\nimport "x"'],
+}
+SOUND = {
+    "js": ["try { a() } catch { b() } finally { c() }", "for (let i = 0; i < 3; i++) {}", "for (;;) {}", "for (const x of y) {}", "for await (const x of y) {}", "if (a) b(); else if (c) d(); else e()", "switch (a ? 1 : 2) { case 3: { b() } default: c() }", "let x = a ? { b: 1 } : c, y = d ? e : f ? g : h", "do { if (a) break } while (b)", "const { a, b: [c] } = d", "x.catch(e => {}).finally(() => {})", "if (a) { try { b() } finally { c() } } else { d() }", "x = { case: 1, if: 2, else: 3 }"],
+    "ts": ["declare const x: number", "function f(a?: number, b?) { return a ? b : a }", "type A<B> = B extends string ? 1 : 2", "interface A { b?: string; c?(): void }", "const f = (a?: () => void): void => {}", "let x = a?.b ?? (c ? d : e)"],
+    "py": ["x = [a for a in b if a if not c]", "f(a if b else c for a in d if e)", "f = lambda a, b=1, *c: a if b else c", "def f(a, b=1, *c, d, e=2, **g):\n    return (lambda x=1: x)", "for a, b in c: pass\nelse: pass", "match x:\n    case [a] if a:\n        pass", "if (y := x) == 3: pass", "async def f(a: int = 1, *, b): return [x async for x in a]", "x = {k: lambda: v for k, v in d.items()}", "while a: b(c=1)"],
+    "go": ["package p\n\nvar x int\n\nfunc f(a, b int, c ...string) (d int, e error) {\n\tvar y = 1\n\tfor i := 0; i < 3; i++ {\n\t}\n\tfor {\n\t}\n\tfor _, c := range []struct{ a int }{{1}} {\n\t}\n\treturn\n}", "package p\n\nfunc (r *T) F(a map[string]int, f func(int) error) chan int {\n\tvar (\n\t\ta int\n\t)\n\treturn nil\n}"],
+}
+
+
+def test_productions(spark):
+    files = [(f"{k}.{ext}", text, bad) for bad, texts in ((True, UNSOUND), (False, SOUND)) for ext, own in texts.items() for k, text in enumerate(own)]
+    got = {r.file_id for r in syntax.found(frame(spark, [(name, text) for name, text, _ in files])).collect()}
+    assert {files[k][:2] for k in got ^ {k for k, file in enumerate(files) if file[2]}} == set()
+
+
 def test_python_agrees_with_its_parser(spark):
     warnings.simplefilter("ignore")
     lines = PY.split("\n")
