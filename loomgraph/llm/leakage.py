@@ -3,13 +3,15 @@
 One Aho-Corasick automaton holds the word windows of all normalised items.  Each text is
 normalised and scanned once; the windows it contains give, per item, places on both sides from
 which the item's words are aligned with the text's, so that spelling changes and a few changed
-words between the windows count too.  Positions lead back to offsets in the original text.
+words between the windows count too.  Positions lead back to offsets in the original text.  Items of
+the same words are one in the automaton and come apart again by a join.
 """
 
+import hashlib
 import re
 import unicodedata
 from bisect import bisect_right
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from itertools import islice
@@ -21,10 +23,11 @@ from pyspark.sql import functions as F
 
 #: Words in a window of the automaton.
 WINDOW = 3
-#: A window that stands in more items than this points at none of them.
-MOST_ITEMS_OF_A_WINDOW = 3
-#: A run counts from this many words of the item, and from this share of the item.
-LEAST_WORDS, LEAST_SHARE = 18, 0.45
+#: A window that stands in more items than this is common.  An item is aligned with a text that has some of its other
+#: windows, or windows of any kind over this share of the words that a run needs.
+COMMON_WINDOW, LEAST_COVERED = 3, 0.5
+#: A run counts from this many words of the item, and from this share of the item; of an item with fewer words, from this share.
+LEAST_WORDS, LEAST_SHARE, LEAST_OF_SHORT = 18, 0.45, 0.9
 #: Share of a run's words that must be the item's, and the share that must be so letter for letter.
 LEAST_KEPT, LEAST_EXACT = 0.8, 0.68
 #: Items per automaton; with more, the texts are scanned once for each such block of items.
@@ -60,30 +63,40 @@ def placed_words(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def item_words(text: str) -> tuple[list[str], list[int]]:
+    """The normalised words of an item, and of each the number of the blank-separated token it is in."""
+    words, tokens = [], []
+    for k, token in enumerate(text.split()):
+        own = normal_words(token)
+        words += own
+        tokens += [k] * len(own)
+    return words, tokens
+
+
+def windows_of(words: list[str]) -> list[str]:
+    size = min(WINDOW, len(words))
+    return [f" {' '.join(words[at : at + size])} " for at in range(len(words) - size + 1)] if words else []
+
+
 class Items:
-    """The items, with the automaton over their windows."""
+    """Items of different words, with the automaton over their windows; ``common`` has those windows that stand in many."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], common: set[str] | frozenset[str] = frozenset()):
         self.words: dict[int, list[str]] = {}
-        self.tokens: dict[int, list[int]] = {}  # of each word the number of the blank-separated token it is in
+        self.tokens: dict[int, list[int]] = {}
         self.n_tokens: dict[int, int] = {}
+        self.need: dict[int, float] = {}
         windows: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item, text in items:
-            words, tokens = [], []
-            for k, token in enumerate((text or "").split()):
-                own = normal_words(token)
-                words += own
-                tokens += [k] * len(own)
-            self.words[item], self.tokens[item] = words, tokens
-            self.n_tokens[item] = len(set(tokens))
-            for at in range(len(words) - WINDOW + 1):
-                windows[f" {' '.join(words[at : at + WINDOW])} "].append((item, at))
+            self.words[item], self.tokens[item] = item_words(text or "")
+            n = self.n_tokens[item] = len(set(self.tokens[item]))
+            self.need[item] = LEAST_OF_SHORT * n if n < LEAST_WORDS else max(LEAST_WORDS, LEAST_SHARE * n)
+            for at, window in enumerate(windows_of(self.words[item])):
+                windows[window].append((item, at))
         self.automaton = ahocorasick.Automaton()
-        self.any = False
+        self.any = bool(windows)
         for window, places in windows.items():
-            if len({item for item, _ in places}) <= MOST_ITEMS_OF_A_WINDOW:
-                self.automaton.add_word(window, (len(window), places))
-                self.any = True
+            self.automaton.add_word(window, (len(window), window in common, places))
         if self.any:
             self.automaton.make_automaton()
 
@@ -91,8 +104,9 @@ class Items:
         """``(item, first word, last word, words of the run, share)`` of each item that ``text`` leaks; words are numbered in the text."""
         words = normal_words(text)
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        telling: Counter[int] = Counter()
         starts = None
-        for end, (length, places) in self.automaton.iter(f" {' '.join(words)} "):
+        for end, (length, common, places) in self.automaton.iter(f" {' '.join(words)} "):
             if starts is None:
                 starts, at = [], 0
                 for word in words:
@@ -101,19 +115,27 @@ class Items:
             word = bisect_right(starts, end - length + 1) - 1
             for item, place in places:
                 hits[item].append((word, place))
+            if not common:
+                telling.update({item for item, _ in places})
         out = []
         for item, own in hits.items():
-            if len(own) >= 3:
-                run = self.align(item, own, words)
-                if run:
-                    out.append((item, *run))
+            few = min(3, max(1, len(self.words[item]) - WINDOW + 1))
+            if len(own) < few:
+                continue
+            if telling[item] < few:
+                least = LEAST_COVERED * self.need[item]
+                if WINDOW * len(own) < least or len({place + k for _, place in own for k in range(WINDOW)}) < least:
+                    continue
+            run = self.align(item, own, words)
+            if run:
+                out.append((item, *run))
         return out
 
     def align(self, item: int, hits: list[tuple[int, int]], words: list[str]) -> tuple[int, int, int, float] | None:
         theirs, tokens = self.words[item], self.tokens[item]
-        need = max(LEAST_WORDS, LEAST_SHARE * self.n_tokens[item])
+        need = self.need[item]
         best = None
-        for low, high in neighbourhoods(hits, len(theirs), len(words)):
+        for low, high in neighbourhoods(hits, len(theirs), len(words), least=2 if len(theirs) > WINDOW else 1):
             part = words[low:high]
             same = [-1] * len(theirs)
             blocks = SequenceMatcher(None, theirs, part, autojunk=False).get_matching_blocks()
@@ -146,8 +168,8 @@ class Items:
         return best
 
 
-def neighbourhoods(hits: list[tuple[int, int]], n_item: int, n_text: int) -> list[tuple[int, int]]:
-    """The stretches of the text where hits of one item stand together, with room for the whole item."""
+def neighbourhoods(hits: list[tuple[int, int]], n_item: int, n_text: int, least: int = 2) -> list[tuple[int, int]]:
+    """The stretches of the text where at least ``least`` hits of one item stand together, with room for the whole item."""
     out: list[list[int]] = []
     for word, place in sorted(hits):
         low, high = max(0, word - place - 8), min(n_text, word + n_item - place + 8)
@@ -156,7 +178,7 @@ def neighbourhoods(hits: list[tuple[int, int]], n_item: int, n_text: int) -> lis
             out[-1][2] += 1
         else:
             out.append([low, high, 1])
-    return [(low, high) for low, high, n in out if n >= 2]
+    return [(low, high) for low, high, n in out if n >= least]
 
 
 def alike(a: str, b: str) -> bool:
@@ -168,30 +190,49 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
     The offsets are those of the original text (zero-based, end exclusive); ``words`` and ``share``
     tell how much of the item the run covers.  Null, empty and blank texts and items leak nothing;
-    repeated rows give repeated rows; without items there is no row.  The items go to every task in
+    repeated rows give repeated rows, items delivered twice count once; without items there is no row.  The items go to every task in
     blocks of at most ``ITEMS_PER_BLOCK``, one scan of the texts for each block, so that neither an
-    automaton nor what is sent grows without bound.
+    automaton nor what is sent grows without bound; the results don't depend on the blocks.
     """
     spark = docs.sparkSession
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).filter("text is not null and text != ''")
     wanted = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    schema = "doc_id long, item_id long, char_start int, char_end int, words int, share double"
-    blocks: list[list[tuple[int, str]]] = []
-    rest = wanted.orderBy("item_id", "text").toLocalIterator()
-    while block := [(row.item_id, row.text) for row in islice(rest, ITEMS_PER_BLOCK)]:
-        blocks.append(block)
-    out = spark.createDataFrame([], schema)
-    for k, block in enumerate(blocks):
-        part = _scan(texts, block, schema)
-        out = part if k == 0 else out.unionByName(part)
-    return out
-
-
-def _scan(texts: DataFrame, block: list[tuple[int, str]], schema: str) -> DataFrame:
-    shipped = texts.sparkSession.sparkContext.broadcast(block)
+    normal = wanted.mapInPandas(_normalise, "item_id long, text string, same string").distinct()
+    firsts = normal.groupBy("same").agg(F.min("item_id").alias("first"))
+    members = normal.join(firsts, "same").select("first", "item_id").distinct()
+    alone = normal.join(firsts, "same").filter("item_id = first").groupBy("first").agg(F.min("text").alias("text"))
+    windows = alone.mapInPandas(_windows, "window string").groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > COMMON_WINDOW)
+    common = frozenset(row.window for row in windows.toLocalIterator())
+    schema = "doc_id long, first long, char_start int, char_end int, words int, share double"
+    rest = alone.orderBy("first").toLocalIterator()
+    out = None
+    while block := [(row.first, row.text) for row in islice(rest, ITEMS_PER_BLOCK)]:
+        part = _scan(texts, block, common, schema)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], schema)
+    return out.join(members, "first").select("doc_id", "item_id", "char_start", "char_end", "words", "share")
+
+
+def _normalise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        same = []
+        for text in batch["text"]:
+            words, tokens = item_words(text)
+            same.append(hashlib.sha256("".join(f"{word} {token}\n" for word, token in zip(words, tokens)).encode()).hexdigest() if words else None)
+        yield batch.assign(same=same).dropna(subset=["same"])
+
+
+def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"window": [window for text in batch["text"] for window in sorted(set(windows_of(item_words(text)[0])))]}, dtype=object)
+
+
+def _scan(texts: DataFrame, block: list[tuple[int, str]], common: frozenset[str], schema: str) -> DataFrame:
+    shipped = texts.sparkSession.sparkContext.broadcast((block, common))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items = Items(shipped.value)
+        items = Items(*shipped.value)
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
@@ -199,7 +240,7 @@ def _scan(texts: DataFrame, block: list[tuple[int, str]], schema: str) -> DataFr
                 if runs:
                     placed = placed_words(text)
                     rows += [(doc, item, placed[first][1], placed[last][2], length, share) for item, first, last, length, share in runs]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "char_start", "char_end", "words", "share"])
+            yield pd.DataFrame(rows, columns=["doc_id", "first", "char_start", "char_end", "words", "share"])
 
     return texts.mapInPandas(scan, schema)
 

@@ -38,6 +38,17 @@ def test_leaks(spark):
     assert leakage.found(docs, items.limit(0)).count() == 0
 
 
+def test_copies_and_short_items(spark):
+    copies = [(1000 * n + k, ITEMS[n][1] if k % 2 else ITEMS[n][1].upper(), "copies") for n, many in ((1, 4), (2, 400)) for k in range(many)]
+    near = [(90_000 + k, " ".join(w if n != k else "other" for n, w in enumerate(item(9))), "near") for k in range(8)]  # hardly a window of their own
+    short = [(80_000, "which port does the relay of the harbour use", "short"), (80_001, "kaplen mopzz", "short"), (80_002, "the relay", "short")]
+    items = spark.createDataFrame(copies + near + short, "item_id long, text string, suite string")
+    texts = {1: noise(9) + item(2) + noise(9), 2: noise(4) + item(3) + noise(9), 3: noise(5) + item(9) + noise(5), 4: noise(4) + "Which port does the RELAY, of the harbour: use?".split() + noise(4), 5: noise(9) + "which port does the harbour use".split(), 6: ["x", "kaplen", "mopzz"], 7: noise(40)}
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    want = [(1, i) for i, _, _ in copies if i < 2000] + [(2, i) for i, _, _ in copies if i >= 2000] + [(3, i) for i, _, _ in near] + [(4, 80_000), (4, 80_002), (6, 80_001)]
+    assert set(rows(leakage.found(docs, items))) == set(want)
+
+
 def test_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(leakage, "ITEMS_PER_BLOCK", 10)
     docs = spark.createDataFrame([(k, " ".join(noise(9) + item(k) + noise(9))) for k in (1, 15, 39)], "doc_id long, text string")
@@ -45,6 +56,15 @@ def test_blocks_of_items(spark, monkeypatch):
     assert rows(leakage.found(docs, items)) == [(1, 1), (15, 15), (39, 39)]
 
 
+def test_results_do_not_depend_on_blocks(spark, monkeypatch):
+    near = [(k, " ".join(w if n != k else "other" for n, w in enumerate(item(9))), "near") for k in range(8)]
+    items = spark.createDataFrame(near, "item_id long, text string, suite string")
+    docs = spark.createDataFrame([(1, " ".join(noise(5) + item(9)[5:30] + noise(5))), (2, " ".join(noise(5) + item(9)[5:14] + noise(5) + item(9)[20:30]))], "doc_id long, text string")
+    whole = rows(leakage.leaks(docs, items))
+    monkeypatch.setattr(leakage, "ITEMS_PER_BLOCK", 2)
+    assert rows(leakage.leaks(docs, items)) == whole and 1 in {r[0] for r in whole}
+
+
 def test_offsets_lead_to_the_original():
     text = "Ünï «Foo_bar»​Baz ＡＢＣ, x"
     for word, start, end in leakage.placed_words(text):
