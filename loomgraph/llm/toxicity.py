@@ -1,7 +1,9 @@
 """Scores for abusive, hateful and sexually explicit language (problem 8).
 
-Two Kneser-Ney word models, one of offensive and one of ordinary utterances, share the counts they
+Two Kneser-Ney word models, one of offensive and one of ordinary utterances (triples by their counts, pairs
+and words by the contexts they continue), share the counts they
 back off to, so that a rare expression is judged by the company its words keep in either class.
+Every utterance of every document is scored with both.
 A document's score is the highest length-normalised difference of the two log-likelihoods among
 its utterances.  The models are fitted on a bounded sample of labelled documents; the
 labels are of whole documents and partly wrong, so which sentences of a document earned its label
@@ -24,14 +26,18 @@ from loomgraph.llm.seeds import OFFENSIVE_SEEDS, ORDINARY_SEEDS
 MOST_LABELLED = 6_000
 #: Utterances of more words than ``LONGEST`` are scored in windows of ``WINDOW`` words.
 WINDOW, LONGEST = 12, 18
+#: The length that a shorter utterance counts as.
+SHORT = 8
 #: The discount of the models, and rounds and folds of the cross-fitting.
 DISCOUNT, ROUNDS, FOLDS = 0.7, 1, 2
 #: Length-normalised difference from which an utterance is offensive.
-THRESHOLD = 1.5
-#: The score of a document without a single word that is evidence.
+THRESHOLD = 1.4
+#: Difference below which an utterance of a document labelled offensive is trained as an ordinary one.
+CLEARLY_ORDINARY = -0.5
+#: The score of a null, empty or blank text.
 LOWEST = -10.0
-#: How much likelier among offensive words a word must be for a window with it to be scored.
-EVIDENCE = 25
+#: Triples of words whose difference a task remembers; beyond that it forgets all and goes on (results do not change).
+MET_TRIPLES = 1_000_000
 #: A word that is rarer in the sample than this is an unknown word.
 LEAST_COUNT = 2
 
@@ -80,31 +86,37 @@ def tokens(text: str) -> list[str]:
 
 
 class Counts:
-    """What one class's Kneser-Ney model needs: counts of words, pairs and triples and of their contexts."""
+    """What one class's Kneser-Ney model needs: counts of triples, and below them of the contexts that pairs and words continue."""
 
     def __init__(self, segments: list[list[str]]):
-        self.word, self.pair, self.triple = Counter(), Counter(), Counter()
-        for words in segments:
-            words = ["<s>", "<s>", *words, "</s>"]
-            self.word.update(words[2:])
-            self.pair.update(zip(words[1:], words[2:]))
-            self.triple.update(zip(words, words[1:], words[2:]))
-        self.total = sum(self.word.values())
-        self.after = Counter()
-        for (a, _), n in self.pair.items():
-            self.after[a] += n
-        self.kinds_after = Counter([a for a, _ in self.pair])
-        self.after2 = self.pair  # every word of a pair has a word after it, but for the last of an utterance
-        self.kinds_after2 = Counter([(a, b) for a, b, _ in self.triple])
+        self.triple: Counter[tuple[str, str, str]] = Counter()
+        words: Counter[str] = Counter()
+        for segment in segments:
+            padded = ["<s>", "<s>", *segment, "</s>"]
+            words.update(padded[2:])
+            self.triple.update(zip(padded, padded[1:], padded[2:]))
+        self.total = sum(words.values())
+        self.frequency = words
+        self.pair = Counter((b, word) for _, b, word in self.triple)  # of a pair, the words it follows
+        self.word = Counter(word for _, word in self.pair)  # of a word, the words it follows
+        self.after2: Counter[tuple[str, str]] = Counter()
+        for (a, b, _), n in self.triple.items():
+            self.after2[a, b] += n
+        self.kinds_after2 = Counter((a, b) for a, b, _ in self.triple)
+        self.after: Counter[str] = Counter()
+        for (b, _), n in self.pair.items():
+            self.after[b] += n
+        self.kinds_after = Counter(b for b, _ in self.pair)
+        self.pairs = sum(self.word.values())
 
     def probability(self, a: str, b: str, word: str, base: float) -> float:
         p = base
-        if self.total:
-            p = (max(self.word[word] - DISCOUNT, 0) + DISCOUNT * len(self.word) * p) / self.total
+        if self.pairs:
+            p = (max(self.word[word] - DISCOUNT, 0) + DISCOUNT * len(self.word) * p) / self.pairs
         if n := self.after.get(b):
             p = (max(self.pair.get((b, word), 0) - DISCOUNT, 0) + DISCOUNT * self.kinds_after[b] * p) / n
-            if n := self.after2.get((a, b)) if (a, b) in self.kinds_after2 else 0:
-                p = (max(self.triple.get((a, b, word), 0) - DISCOUNT, 0) + DISCOUNT * self.kinds_after2[a, b] * p) / n
+        if n := self.after2.get((a, b)):
+            p = (max(self.triple.get((a, b, word), 0) - DISCOUNT, 0) + DISCOUNT * self.kinds_after2[a, b] * p) / n
         return p
 
 
@@ -125,15 +137,13 @@ class Models:
         vocabulary = len(self.known) + 2
         self.shared = {word: (len(own) + 1) / (kinds + vocabulary) for word, own in before.items()}
         self.unseen = 1 / (kinds + vocabulary)
-        # words that are evidence of an offensive utterance by themselves; windows without any are not scored
         o, n = self.offensive, self.ordinary
-        evidence = min(EVIDENCE, max(2, n.total / max(o.total, 1)))  # a small ordinary sample can't show more
-        self.hot = {w for w in self.known if o.word[w] and (o.word[w] / max(o.total, 1)) > evidence * (n.word[w] + 0.5) / max(n.total, 1)}
-        by_shape = defaultdict(list)
-        for word in self.hot:
-            if len(word) > 2:
+        by_shape = defaultdict(list)  # of words likelier among offensive ones, which a masked word stands for
+        for word in self.known:
+            if len(word) > 2 and o.frequency[word] * max(n.total, 1) > 2 * (n.frequency[word] + 0.5) * max(o.total, 1):
                 by_shape[word[0], len(word)].append(word)
-        self.masked = {k: sorted(v, key=lambda w: (-o.word[w], w)) for k, v in by_shape.items()}
+        self.masked = {k: sorted(v, key=lambda w: (-o.frequency[w], w)) for k, v in by_shape.items()}
+        self.met: dict[tuple[str, str, str], float] = {}
 
     def seen(self, word: str) -> str:
         """``word`` as the vocabulary has it; a masked word becomes the offensive word that fits it."""
@@ -144,21 +154,22 @@ class Models:
             return next((w for w in self.masked.get((word[0], len(word)), ()) if pattern.fullmatch(w)), "<masked>")
         return "<unk>"
 
-    def difference(self, a: str, b: str, word: str) -> float:
-        base = self.shared.get(word, self.unseen)
-        return math.log(self.offensive.probability(a, b, word, base) / self.ordinary.probability(a, b, word, base))
-
-    def is_evidence(self, words: list[str]) -> bool:
-        return not self.hot.isdisjoint(words) or any("*" in w for w in words)
+    def difference(self, triple: tuple[str, str, str]) -> float:
+        known = self.met.get(triple)
+        if known is None:
+            if len(self.met) > MET_TRIPLES:
+                self.met.clear()
+            base = self.shared.get(triple[2], self.unseen)
+            known = self.met[triple] = math.log(self.offensive.probability(*triple, base) / self.ordinary.probability(*triple, base))
+        return known
 
     def utterance(self, words: list[str]) -> float:
         """Mean difference of the log-likelihoods of one utterance; of a longer text, of its highest window of ``WINDOW`` words."""
-        if not self.is_evidence(words):
-            return LOWEST
-        words = ["<s>", "<s>", *map(self.seen, words), "</s>"]
-        each = [self.difference(a, b, word) for a, b, word in zip(words, words[1:], words[2:])]
+        known = self.known
+        words = ["<s>", "<s>", *(word if word in known else self.seen(word) for word in words), "</s>"]
+        each = list(map(self.difference, zip(words, words[1:], words[2:])))
         if len(each) <= LONGEST:
-            return sum(each) / max(len(each), 6)
+            return sum(each) / max(len(each), SHORT)
         total = sum(each[:WINDOW])
         best = total
         for k in range(WINDOW, len(each)):
@@ -167,8 +178,8 @@ class Models:
         return best / WINDOW
 
     def score(self, text: str) -> float:
-        """The score of a document: that of its highest utterance, or ``LOWEST`` where nothing is evidence."""
-        if not text or not self.is_evidence(tokens(text)):
+        """The score of a document: that of its highest utterance, or ``LOWEST`` where there is none."""
+        if not text:
             return LOWEST
         return max((self.utterance(words) for words in utterances(text)), default=LOWEST)
 
@@ -178,6 +189,11 @@ def utterances(text: str) -> list[list[str]]:
     return [words for part in _BOUNDARY.split(text) if (words := tokens(part))]
 
 
+def fold_of(doc: int) -> int:
+    """The fold of a document, whatever ids may have in common."""
+    return (doc * 0x9E3779B1 & 0xFFFFFFFF) * FOLDS >> 32
+
+
 def fit(labelled: list[tuple[int, str, float]]) -> Models:
     """Models from ``(doc_id, text, share of labels that say offensive)``; with no such documents, from the seed phrases alone."""
     segments = [(doc, label, words) for doc, text, label in labelled for words in utterances(text or "")]
@@ -191,13 +207,13 @@ def fit(labelled: list[tuple[int, str, float]]) -> Models:
     chosen = [free and (score > 0 or tell) for free, score, tell in zip(open_, scores, tells)]
 
     def train(without: int | None) -> Models:
-        # what has evidence in a document labelled offensive, but wasn't chosen, is left out of both classes
-        own = [k for k, (doc, _, _) in enumerate(segments) if without is None or doc % FOLDS != without]
-        return Models(seeds_off + [segments[k][2] for k in own if chosen[k]], seeds_ord + [segments[k][2] for k in own if not chosen[k] and scores[k] == LOWEST and not tells[k]])
+        # what is neither clearly ordinary nor chosen in a document labelled offensive is left out of both classes
+        own = [k for k, (doc, _, _) in enumerate(segments) if without is None or fold_of(doc) != without]
+        return Models(seeds_off + [segments[k][2] for k in own if chosen[k]], seeds_ord + [segments[k][2] for k in own if not chosen[k] and scores[k] < CLEARLY_ORDINARY and not tells[k]])
 
     for _ in range(ROUNDS):
         folds = [train(fold) for fold in range(FOLDS)]
-        scores = [folds[doc % FOLDS].utterance(words) if free else LOWEST for free, (doc, _, words) in zip(open_, segments)]
+        scores = [folds[fold_of(doc)].utterance(words) if free else LOWEST for free, (doc, _, words) in zip(open_, segments)]
         chosen = [score > THRESHOLD for score in scores]
     return train(None)
 

@@ -56,6 +56,7 @@ def test_rows(spark):
     scored = toxicity.score_documents(docs, labels)
     assert scored.count() == docs.count()
     assert {r.score for r in scored.filter("doc_id in (900, 901, 902)").collect()} == {toxicity.LOWEST}
+    assert scored.filter("doc_id not in (900, 901, 902)").filter(f"score = {toxicity.LOWEST}").count() == 0
     found = {r.doc_id for r in toxicity.found(docs, labels).collect()}
     truth = {k for k in range(500) if k % 5 == 0}
     assert len(found & truth) >= 90 and len(found - truth) <= 10
@@ -63,3 +64,21 @@ def test_rows(spark):
     assert toxicity.found(docs.limit(0), labels).count() == 0
     assert toxicity.found(docs, labels.limit(0)).count() >= 0
     assert rows(toxicity.found(docs.limit(0), labels.limit(0))) == []
+
+
+def test_offences_of_ordinary_words_are_scored():
+    rng, texts = random.Random(3), []
+    for k in range(400):
+        a, b = rng.sample(NOUNS, 2)
+        threat = f"We will find where you live and you will regret the {a}."
+        texts.append((k, " ".join([ordinary(), threat if k % 4 == 0 else f"We will find where the {a} stores rows and you will see the {b}."]), float(k % 4 == 0)))
+    model = toxicity.fit(texts)
+    assert model.score("We will find where you live and you will regret the cache.") > toxicity.THRESHOLD
+    assert model.score("We will find where the cache stores rows and you will see the index.") <= toxicity.THRESHOLD
+
+
+def test_probabilities_of_a_context_add_up():
+    counts = toxicity.Counts([["a", "b", "a"], ["b", "b", "c"], ["a", "b", "c"]])
+    words = ["a", "b", "c", "</s>"]
+    for context in (("<s>", "<s>"), ("a", "b"), ("b", "b"), ("c", "a")):
+        assert abs(sum(counts.probability(*context, word, 1 / len(words)) for word in words) - 1) < 1e-9
