@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Unicode white space, as a regular expression class.
+#: Unicode white space, as a regular expression class, headings, fences, backticks and identifiers.
 SPACE = r"[\t\n\x0B\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 HEADING = r"(?d)^(#{1,6})[\t\n\f\r ]+(.+)\z"
 FENCE, BACKTICK, IDENTIFIER = r"(?s)```.*?```", r"`([^`\n]+)`", r"[A-Za-z_][A-Za-z0-9_]*"
@@ -57,6 +57,32 @@ def is_dependency(path: Column) -> Column:
     return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(name) for name in DEFAULT_IGNORE]))
 
 
+def base_name(path: Column) -> Column:
+    """What follows the last slash of ``path``."""
+    return F.regexp_extract(path, r"[^/]*\z", 0)
+
+
+def extension(path: Column) -> Column:
+    """The last part of the name from its point on, or nothing."""
+    return F.regexp_extract(path, r"\.[^./]*\z", 0)
+
+
+def uri_path(uri: Column) -> Column:
+    """The path of a ``file:`` address, with its escapes undone; other texts as they are."""
+    return F.when(F.startswith(uri, F.lit("file://")), F.url_decode(F.replace(F.substr(uri, F.lit(8)), F.lit("+"), F.lit("%2B")))).otherwise(uri)
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """``path`` seen from ``root``; as it is where it isn't below that."""
+    prefix = root.rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(prefix)), F.substr(path, F.lit(len(prefix) + 1))).otherwise(path)
+
+
+def list_of(text: str) -> list[str]:
+    """The parts of a comma-separated text, trimmed, without empty ones."""
+    return [part.strip() for part in (text or "").split(",") if part.strip()]
+
+
 def merge_ignore(extra: list[str]) -> list[str]:
     """The default folders to ignore, then ``extra``, each once."""
     return list(dict.fromkeys([*DEFAULT_IGNORE, *extra]))

@@ -8,8 +8,7 @@ from loomgraph.functions.text import HEADING, trim_space
 
 def lines_of(text: Column) -> Column:
     """The lines of a text, without line ends; a final line end starts no line."""
-    lines = F.transform(F.split(text, "\n", -1), lambda line: F.regexp_replace(line, "\r\\z", ""))
-    return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    return F.split(F.regexp_replace(text, r"\r?\n\r?\z|\r\z", ""), "\r?\n", -1)
 
 
 def split_sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -35,20 +34,21 @@ def split_sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     marked = lines.withColumn("_starts", F.concat(F.array(top), F.filter(F.transform("_lines", heading), lambda h: h["level"] > 0)))
     starts, size = F.col("_starts"), F.size("_lines")
 
-    def trail(k: Column) -> Column:
-        under = F.filter(
-            F.slice(starts, 2, k),
-            lambda h, i: (h["title"] != "") & ~F.exists(F.slice(starts, i + 3, F.greatest(k - i - 1, F.lit(0))), lambda later: later["level"] <= h["level"]),
-        )
-        joined = F.array_join(F.transform(under, lambda h: h["title"]), " > ")
-        return F.when(joined == "", "(top)").otherwise(joined)
+    def under(state: Column, h: Column) -> Column:
+        # the titles that a section stands under, by level, and the trails of the sections so far
+        titles = F.transform(state["titles"], lambda title, i: F.when(i + 1 < h["level"], title).when(i + 1 == h["level"], h["title"]).otherwise(""))
+        joined = F.array_join(F.filter(titles, lambda title: title != ""), " > ")
+        return F.struct(titles.alias("titles"), F.concat(state["trails"], F.array(F.when(joined == "", "(top)").otherwise(joined))).alias("trails"))
+
+    nothing = F.struct(F.array_repeat(F.lit(""), 6).alias("titles"), F.array(F.lit("(top)")).alias("trails"))
+    marked = marked.withColumn("_trails", F.aggregate(F.slice("_starts", 2, F.size("_starts")), nothing, under, lambda state: state["trails"]))
 
     def section(start: Column, k: Column) -> Column:
         last = k + 1 >= F.size(starts)
         following = F.when(last, size + 1).otherwise(F.get(starts, k + 1)["line"])
         content = F.slice(F.col("_lines"), start["line"] + 1, F.greatest(following - start["line"] - 1, F.lit(0)))
         return F.struct(
-            trail(k).alias("breadcrumb"),
+            F.get("_trails", k).alias("breadcrumb"),
             trim_space(F.array_join(content, "\n")).alias("content"),
             F.greatest(start["line"], F.lit(1)).alias("line_start"),
             F.when(last, size).otherwise(following).alias("line_end"),

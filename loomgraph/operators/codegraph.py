@@ -1,9 +1,10 @@
 """The code graph: entities, their edges, and what stands at a position."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LABELS = ("Class", "Function", "Method", "Constructor", "Interface", "Enum")
+from loomgraph.operators.ordering import running_sum
+
 _KEY = ["graph", "label", "name", "path", "parent_name"]
 
 
@@ -70,6 +71,5 @@ def reach(edges: DataFrame, starts: DataFrame, hops: int, cut) -> DataFrame:
 
 
 def in_reading_order(chunks: DataFrame) -> DataFrame:
-    """``chunks`` with ``position``, their place in their file by line, then id."""
-    place = F.row_number().over(Window.partitionBy("graph", "source").orderBy("line_start", "id"))
-    return chunks.withColumn("position", place)
+    """``chunks`` with ``position``, their place in their file by line, then id (unique); a file can spread over many tasks."""
+    return running_sum(chunks, ["graph", "source"], ["line_start", "id"], F.lit(1), "position").withColumn("position", F.col("position").cast("long"))

@@ -1,5 +1,7 @@
 """Carrying chunk identities over a re-ingest: which stored row each new chunk is."""
 
+from collections import defaultdict
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -7,6 +9,8 @@ from pyspark.sql import functions as F
 from loomgraph.functions.text import anchor_id, content_hash
 from loomgraph.plans.lineage import cut
 
+#: Packs for each shuffle partition; a pack's groups of entangled chunks are decided in one call.
+GROUPS_AT_ONCE = 4
 MATCHES = "source string, new_id long, id long, action string, ambiguous array<long>"
 
 
@@ -55,9 +59,11 @@ def match(existing: DataFrame, new: DataFrame) -> DataFrame:
     rest = fresh.join(whole, "source", "left_anti")
     kept = existing.join(rest.select("source").distinct(), "source", "left_semi")
     groups = entangled(rest.select("source", *_place()).unionByName(kept.select("source", *_place())))
-    grouped = ["source", "place", "id", "anchor_id", "content_hash", "breadcrumb", "group"]
-    rest, kept = (side.toDF(*columns).withColumn("place", _place()[0]).join(groups, ["source", "place"]).select(*grouped).toDF(*grouped) for side in (rest, kept))
-    slow = rest.groupBy("source", "group").cogroup(kept.groupBy("source", "group")).applyInPandas(_greedy, MATCHES)
+    grouped = ["source", "id", "anchor_id", "content_hash", "breadcrumb", "group", "pack"]
+    packs = GROUPS_AT_ONCE * int(existing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pack = F.pmod(F.xxhash64("source", "group"), F.lit(packs)).alias("pack")
+    rest, kept = (side.toDF(*columns).withColumn("place", _place()[0]).join(groups, ["source", "place"]).select(*grouped[:-1], pack).toDF(*grouped) for side in (rest, kept))
+    slow = rest.groupBy("pack").cogroup(kept.groupBy("pack")).applyInPandas(_decide, MATCHES)
     return fast.unionByName(slow)
 
 
@@ -96,32 +102,46 @@ def _common(a: str | None, b: str | None) -> int:
     return n
 
 
-def _greedy(new: pd.DataFrame, existing: pd.DataFrame) -> pd.DataFrame:
-    by_anchor: dict[str, list] = {}
-    by_hash: dict[str, list] = {}
+class _Free:
+    """Rows in order of id, of which those taken elsewhere are passed over once and for all."""
+
+    def __init__(self):
+        self.rows: list = []
+        self.at = 0
+
+    def first(self, taken: set[int]):
+        while self.at < len(self.rows) and self.rows[self.at].id in taken:
+            self.at += 1
+        return self.rows[self.at] if self.at < len(self.rows) else None
+
+
+def _decide(new: pd.DataFrame, existing: pd.DataFrame) -> pd.DataFrame:
+    """The decisions of ``match`` for a pack of groups; chunks of different sources or groups share no key."""
+    by_anchor, by_both, by_hash = defaultdict(_Free), defaultdict(_Free), defaultdict(_Free)
     for row in existing.sort_values("id").itertuples(index=False):
         if row.anchor_id:
-            by_anchor.setdefault(row.anchor_id, []).append(row)
+            by_anchor[row.source, row.anchor_id].rows.append(row)
+            by_both[row.source, row.anchor_id, row.content_hash].rows.append(row)
         if row.content_hash:
-            by_hash.setdefault(row.content_hash, []).append(row)
+            by_hash[row.source, row.content_hash].rows.append(row)
     taken: set[int] = set()
     out = []
-    for chunk in new.sort_values("id").itertuples(index=False):
-        same = [row for row in by_anchor.get(chunk.anchor_id, ()) if row.id not in taken]
-        if same:
-            best = min(same, key=lambda row: (row.content_hash != chunk.content_hash, row.id))
-            taken.add(best.id)
-            out.append((chunk.source, chunk.id, best.id, "unchanged" if best.content_hash == chunk.content_hash else "updated", []))
-            continue
-        moved = [row for row in by_hash.get(chunk.content_hash, ()) if row.id not in taken and row.anchor_id != chunk.anchor_id] if chunk.content_hash else []
-        if moved:
-            best = min(moved, key=lambda row: (-_common(row.breadcrumb, chunk.breadcrumb), row.id))
+    for chunk in new.sort_values(["source", "id"]).itertuples(index=False):
+        best, action, others = by_both[chunk.source, chunk.anchor_id, chunk.content_hash].first(taken), "unchanged", []
+        if best is None:
+            best, action = by_anchor[chunk.source, chunk.anchor_id].first(taken), "updated"
+        if best is None and chunk.content_hash and by_hash[chunk.source, chunk.content_hash].first(taken):
+            free = by_hash[chunk.source, chunk.content_hash]
+            moved = [row for row in free.rows[free.at :] if row.id not in taken and row.anchor_id != chunk.anchor_id]
+            if moved:
+                best, action = min(moved, key=lambda row: (-_common(row.breadcrumb, chunk.breadcrumb), row.id)), "renamed"
+                others = sorted(row.id for row in moved if row.id != best.id)
+        if best is None:
+            out.append((chunk.source, chunk.id, None, "created", []))
+        else:
             taken.add(best.id)
-            out.append((chunk.source, chunk.id, best.id, "renamed", sorted(row.id for row in moved if row.id != best.id)))
-            continue
-        out.append((chunk.source, chunk.id, None, "created", []))
-    result = pd.DataFrame(out, columns=["source", "new_id", "id", "action", "ambiguous"])
-    return result.astype({"id": "Int64"})
+            out.append((chunk.source, chunk.id, best.id, action, others))
+    return pd.DataFrame(out, columns=["source", "new_id", "id", "action", "ambiguous"]).astype({"id": "Int64"})
 
 
 def orphaned(existing: DataFrame, matches: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.text import anchor_id, content_hash, is_oversized
 from loomgraph.operators import identity
 from loomgraph.operators.chunker import split_sections
+from loomgraph.operators.ordering import running_sum
 
 #: Numbers of an embedding, and texts that are embedded together.
 DIM, TEXTS_PER_REQUEST = 512, 32
@@ -72,7 +73,7 @@ def reingest(stored: DataFrame, docs: DataFrame, now_ms: int, cut, embedder=hash
     top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     # ids by ranges of sources: a count for each source, then its start
     counts = changed.filter("action = 'created'").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    starts = counts.withColumn("start", F.sum("n").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1))).select("source", F.coalesce("start", F.lit(0)).alias("start"))
+    starts = running_sum(counts.withColumn("all", F.lit(0)), ["all"], ["source"], F.col("n"), "start").select("source", (F.col("start") - F.col("n")).alias("start"))
     made = changed.filter("action = 'created'").join(starts, "source").crossJoin(F.broadcast(top))
     nth = F.row_number().over(Window.partitionBy("source").orderBy("new_id"))
     numbered = made.withColumn("id", F.col("top") + F.col("start") + nth).drop("top", "start")

@@ -30,17 +30,19 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 5, id_col: str = "v
 def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(query_id, id, distance, rank)``: for each query row its ``k`` nearest rows other than itself, exactly.
 
-    Both sides are cut into blocks by id; each block of queries meets each block of vectors in one
-    matrix product, and only the ``k`` best of a block go on to the final choice.  Null vectors
-    take no part; a row repeated under one id counts once.
+    Both sides are dealt to blocks of about ``BLOCK`` rows by the hash of their ids; each block of queries
+    is sent to each block of vectors, meets it in one matrix product, and only the ``k`` best of a
+    block go on to the final choice.  Null vectors take no part; a row repeated under one id counts once.
     """
 
-    def blocks(df: DataFrame, side: str) -> DataFrame:
+    def blocks(df: DataFrame, side: str) -> tuple[DataFrame, int]:
         own = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter("id is not null and v is not null").dropDuplicates(["id"])
-        # distinct ids, so a block holds BLOCK rows at most
-        return own.groupBy(F.floor(F.col("id") / BLOCK).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias(side)).select(side)
+        n = max(1, -(-df.count() // BLOCK))
+        return own.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias(f"{side}_block")).agg(F.collect_list(F.struct("id", "v")).alias(side)), n
 
-    pairs = blocks(queries, "q").crossJoin(blocks(vectors, "r"))
+    (q, _), (r, n) = blocks(queries, "q"), blocks(vectors, "r")
+    sent = q.withColumn("r_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("r_block", F.col("r_block").cast("long"))
+    pairs = r.join(sent.hint("shuffle_hash"), "r_block")
 
     def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -5,7 +5,6 @@ single machine, as in tests) does the library choose a temporary folder of its o
 """
 
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,11 +26,3 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the shared folder; later steps read it back."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a Parquet table of its own in the shared folder, and read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
