@@ -45,6 +45,22 @@ def _lex_es(text: str, markup: bool) -> list[Token]:
     if text.startswith("#!"):
         at = text.find("\n") if "\n" in text else size
     last, last_text = "op", ";"
+
+    def template(start: int) -> int:
+        """Takes in a piece of a template from ``start`` on; where it ends."""
+        nonlocal last, last_text
+        m = _TEMPLATE.match(text, start + 1)
+        if m.group("end") == "${":
+            stack.append("${")
+            out.append(("tpl", text[start : m.end()], start))
+            last, last_text = "op", "("
+        elif m.group("end"):
+            out.append(("tpl", text[start : m.end()], start))
+            last, last_text = "str", ""
+        else:
+            out.append(("bad", text[start : m.end()], start))
+        return m.end()
+
     while at < size:
         mode = stack[-1] if stack else ""
         if mode == "kids":
@@ -90,51 +106,56 @@ def _lex_es(text: str, markup: bool) -> list[Token]:
                 out.append(("bad", m.group(), at))
             at = m.end()
             continue
-        m = _ES.match(text, at)
-        kind, end = m.lastgroup, m.end()
-        token, at = m.group(kind), m.start(kind)
-        if kind == "end":
-            break
-        if kind == "com":
-            out.append(("com", token, at))
-            at = end
-            continue
-        if kind == "tick" or (kind == "op" and token == "}" and mode == "${"):
+        for m in _ES.finditer(text, at):  # until something moves the place or the mode
+            kind = m.lastgroup
+            token, at = m.group(kind), m.end()
+            if kind == "id":
+                out.append((kind, token, m.start(kind)))
+                last, last_text = kind, token
+                continue
+            start = m.start(kind)
             if kind == "op":
-                stack.pop()
-            m = _TEMPLATE.match(text, end)
-            if m.group("end") == "${":
-                stack.append("${")
-                out.append(("tpl", text[at : m.end()], at))
-                last, last_text = "op", "("
-            elif m.group("end"):
-                out.append(("tpl", text[at : m.end()], at))
-                last, last_text = "str", ""
+                if token == "{":
+                    stack.append("{")
+                elif token == "}":
+                    mode = stack.pop() if stack else ""
+                    if mode == "${":
+                        at = template(start)
+                        break
+                    if stack and stack[-1] in ("kids", "tag"):
+                        out.append((kind, token, start))
+                        last, last_text = kind, token
+                        break
+                elif token in ("/", "/=") or token == "<" and markup:
+                    operand = last in ("id", "num", "str", "re", "tag>") and not (last == "id" and last_text in BEFORE_OPERAND) or last == "op" and last_text in (")", "]", "}", "++", "--")
+                    if token == "<":
+                        if not operand and _TAG_START.match(text, start):
+                            stack.append("tag")
+                            out.append(("tag<", "<", start))
+                            at = start + 1
+                            break
+                    elif not operand and (r := _REGEX.match(text, start)):
+                        out.append(("re", r.group(), start))
+                        last, last_text, at = "re", r.group(), r.end()
+                        break
+                out.append((kind, token, start))
+                last, last_text = kind, token
+            elif kind == "num" or kind == "str":
+                out.append((kind, token, start))
+                last, last_text = kind, token
+            elif kind == "com" or kind == "conf":
+                out.append((kind, token, start))
+            elif kind == "tick":
+                at = template(start)
+                break
+            elif kind == "end":
+                at = size
+                break
             else:
-                out.append(("bad", text[at : m.end()], at))
-            at = m.end()
-            continue
-        if kind == "op":
-            operand = last in ("id", "num", "str", "re", "tag>") and not (last == "id" and last_text in BEFORE_OPERAND) or last == "op" and last_text in (")", "]", "}", "++", "--")
-            if token in ("/", "/=") and not operand and (m := _REGEX.match(text, at)):
-                kind, token, end = "re", m.group(), m.end()
-            elif token == "<" and markup and not operand and _TAG_START.match(text, at):
-                stack.append("tag")
-                out.append(("tag<", "<", at))
-                at += 1
-                continue
-            elif token == "{":
-                stack.append("{")
-            elif token == "}" and stack:
-                stack.pop()
-        elif kind in ("open", "bad"):
-            out.append(("bad", token, at))
-            at = size if kind == "open" else end
-            continue
-        out.append((kind, token, at))
-        if kind == "num" or kind == "id" or kind == "str" or kind == "re" or kind == "op":
-            last, last_text = kind, token
-        at = end
+                out.append(("bad", token, start))
+                if kind == "open":
+                    at = size
+                    break
     if any(mode != "{" for mode in stack):
         out.append(("bad", "", size))
     return out
@@ -152,13 +173,12 @@ _BLOCKS = frozenset("def class if elif else for while with try except finally as
 
 def _lex_py(text: str) -> list[Token]:
     out: list[Token] = []
-    depth, at, size = 0, 0, len(text)
+    depth, size = 0, len(text)
     indents: list[tuple[int, str]] = [(0, "")]
     fresh, opener, first, tested = True, "", "", ""
-    while at < size:
-        m = _PY.match(text, at)
+    for m in _PY.finditer(text):
         kind = m.lastgroup
-        token, start, at = m.group(kind), m.start(kind), m.end()
+        token, start = m.group(kind), m.start(kind)
         if kind == "end":
             break
         if kind == "com":
@@ -231,11 +251,10 @@ GO_WORDS = frozenset("break case chan const continue default defer else fallthro
 
 def _lex_go(text: str) -> list[Token]:
     out: list[Token] = []
-    at, size, last, last_kind = 0, len(text), "", ""
-    while at < size:
-        m = _GO.match(text, at)
+    size, last, last_kind = len(text), "", ""
+    for m in _GO.finditer(text):
         kind = m.lastgroup
-        token, start, at = m.group(kind), m.start(kind), m.end()
+        token, start = m.group(kind), m.start(kind)
         if kind == "end":
             break
         if kind == "com":
