@@ -16,6 +16,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -472,16 +473,18 @@ def token_rows(files: DataFrame, of_file: Callable | None = None, of_file_schema
     """
     number, pairs = grammar()
     languages = sorted(pairs)
-    further = [column.split()[0] for column in of_file_schema.split(", ") if column]
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = f"{_TOKENS}, {of_file_schema}" if of_file else _TOKENS
+    of_further = {column.split()[0]: {"string": pa.string(), "long": pa.int64()}[column.split()[1]] for column in of_file_schema.split(", ") if column}
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bad, width = number["bad"], len(number) + 1
         plain = {c: number.get(c[1:] if c[0] == "+" and c[1:] in number and len(c) > 1 and c not in ES_OPS else c, bad) for c in number}
         bare = {c: c[1:] if c[0] == "+" and c[1:] in BRACKETS else c for c in number}
         brackets = {c: BRACKETS[b] for c, b in bare.items() if b in BRACKETS}
-        for batch in (whole.iloc[k : k + FILES_AT_A_TIME] for whole in batches for k in range(0, len(whole), FILES_AT_A_TIME)):
+        for batch in (whole.slice(k, FILES_AT_A_TIME) for whole in batches for k in range(0, len(whole), FILES_AT_A_TIME)):
             parts, made = [], []
-            for row, file, path, text in zip(batch["row"], batch["file_id"], batch["path"], batch["content"]):
+            for row, file, path, text in zip(*(batch.column(name).to_pylist() for name in ("row", "file_id", "path", "content"))):
                 language = language_of(path)
                 tokens = lex(text, language)
                 marks, kinds = {}, {}
@@ -504,19 +507,16 @@ def token_rows(files: DataFrame, of_file: Callable | None = None, of_file_schema
                 if of_file:
                     made += [(row, file, *new) for new in of_file(text, language, tokens)]
             sizes = [len(p[2]) for p in parts]
-            frame = pd.DataFrame(np.concatenate([p[2] for p in parts]) if parts else np.zeros((0, len(_NUMBERS)), np.int32), columns=_NUMBERS)
-            frame.insert(0, "row", np.repeat(np.array([p[0] for p in parts], np.int64), sizes))
-            frame.insert(1, "file_id", np.repeat(np.array([p[1] for p in parts], np.int64), sizes))
-            if of_file:
-                frame = frame.assign(**dict.fromkeys(further))
-                if made:
-                    new = pd.DataFrame(made, columns=["row", "file_id", *further]).assign(**dict.fromkeys(_NUMBERS, 0)).assign(before=-1, pos=-1)
-                    yield new[frame.columns]
-            yield frame
+            numbers = np.concatenate([p[2] for p in parts]) if parts else np.zeros((0, len(_NUMBERS)), np.int32)
+            columns = [np.repeat(np.array([p[k] for p in parts], np.int64), sizes) for k in (0, 1)] + [np.ascontiguousarray(numbers[:, k]) for k in range(len(_NUMBERS))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns] + [pa.nulls(len(numbers), kind) for kind in of_further.values()], names=["row", "file_id", *_NUMBERS, *of_further])
+            if made:
+                flat = np.zeros(len(made), np.int32)
+                columns = [pa.array([m[k] for m in made], pa.int64()) for k in (0, 1)] + [pa.array(flat - (name in ("before", "pos"))) for name in _NUMBERS]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array([m[k] for m in made], kind) for k, kind in enumerate(of_further.values(), 2)], names=["row", "file_id", *_NUMBERS, *of_further])
 
     read = files.select(F.col("id").cast("long").alias("file_id"), "path", "content").filter("file_id is not null and path is not null and content is not null and content != ''")
-    schema = f"{_TOKENS}, {of_file_schema}" if of_file else _TOKENS
-    return read.filter(extension_language(F.col("path")).isNotNull()).withColumn("row", F.monotonically_increasing_id()).mapInPandas(rows, schema)
+    return read.filter(extension_language(F.col("path")).isNotNull()).withColumn("row", F.monotonically_increasing_id()).mapInArrow(rows, schema)
 
 
 def extension_language(path):
