@@ -2,8 +2,8 @@
 
 Each file is lexed and re-emitted in a canonical layout, one statement or brace a line.  Extreme
 expansion against the original layout marks minified text; one statement shape repeated throughout
-marks generated text; dominance of literals marks data saved as code.  Besides, a place that holds
-nothing hand-written (a vendor or build folder) and a note of origin at the head of the file decide.
+marks generated text; dominance of literals marks data saved as code.  What the layout leaves open, as it can't tell a
+copy of ordinary source, is decided by a note of origin at the head of the file, then by its place (a vendor or build folder).
 """
 
 import re
@@ -88,13 +88,50 @@ def note(tokens: list[Token]) -> str:
     return ""
 
 
+def canonical_lines(tokens: list[Token], language: str) -> Iterator[str]:
+    """The code re-emitted in a canonical layout without comments: one statement, or one brace and what it opens, a line.
+
+    Semicolons between parentheses end no statement; in Python a colon that opens a block on its line ends one.
+    """
+    line: list[str] = []
+    inside, block = 0, False
+    for kind, token, _ in tokens:
+        if kind == "com" or kind in ("in", "out"):
+            continue
+        if kind in ("nl", "nl:", "nl@"):
+            if line and (language == "py" or not inside):
+                yield " ".join(line)
+                line, block = [], False
+            continue
+        ends = False
+        if kind == "op":
+            if token in ("(", "["):
+                inside += 1
+            elif token in (")", "]"):
+                inside = max(0, inside - 1)
+            elif language == "py":
+                ends = not inside and (token == ";" or token == ":" and block)
+            elif token == "}":
+                if line:
+                    yield " ".join(line)
+                line, ends = [], True
+            else:
+                ends = token == "{" or token == ";" and not inside
+        elif language == "py" and kind == "id" and not line:
+            block = token in _KEPT and token not in ("import", "from", "return")
+        line.append(token)
+        if ends:
+            yield " ".join(line)
+            line = []
+    if line:
+        yield " ".join(line)
+
+
 def layout(text: str, tokens: list[Token], language: str) -> dict[str, float]:
     """Measures of a file's layout against its canonical one, and of what it is made of."""
     real = [t for t in tokens if t[0] not in ("com", "nl", "nl:", "in", "out")]
     bodies = [line for line in text.splitlines() if line.strip()]
-    canonical = 1 + sum(kind == "op" and token in ("{", "}", ";") for kind, token, _ in real)
-    if language in ("py", "go"):
-        canonical = max(1, sum(kind in ("nl", "nl:", "nl@") for kind, _, _ in tokens) if language == "py" else canonical)
+    canonical = max(1, sum(1 for _ in canonical_lines(tokens, language)))
     literals = sum(len(token) for kind, token, _ in real if kind in ("num", "str", "tpl"))
     names = sum(len(token) for kind, token, _ in real if kind == "id")
     shapes = Counter(statements(tokens, language))
@@ -163,16 +200,16 @@ def _blank(kind: str, token: str) -> str:
 def origin(graph: str | None, path: str, text: str | None) -> str:
     """Why a file is not hand-written source: ``vendored``, ``built``, ``generated``, ``minified`` or ``data``; else nothing."""
     where = place(graph, path)
-    if where or not text:
+    if not text:
         return where
     language = language_of(path) or "js"
     tokens = lex(text, language)
-    said = note(tokens)
-    if said:
-        return said
-    m = layout(text, tokens, language)
     name = path.rsplit("/", 1)[-1]
-    made = bool(MADE_NAME.search(name))
+    return by_layout(layout(text, tokens, language), bool(MADE_NAME.search(name))) or note(tokens) or where or ("vendored" if VERSION_NAME.match(name) else "")
+
+
+def by_layout(m: dict[str, float], made: bool) -> str:
+    """What a file's layout says of it; ``made`` if its name is one that tools give."""
     if m["expansion"] >= LEAST_EXPANSION and m["width"] >= LEAST_WIDTH:
         return "minified"
     if m["literals"] >= LEAST_LITERALS and m["n_literals"] >= LEAST_DATA and not m["functions"]:
@@ -183,8 +220,6 @@ def origin(graph: str | None, path: str, text: str | None) -> str:
         return "generated"
     if made and (m["uniform"] >= 0.5 and m["statements"] >= 3 or m["expansion"] >= 2):
         return "generated"
-    if VERSION_NAME.match(name):
-        return "vendored"
     return ""
 
 

@@ -4,6 +4,7 @@ import warnings
 import pytest
 from conftest import rows
 
+from loomgraph.functions.lexing import language_of, lex
 from loomgraph.llm import docpairs, origin, syntax
 
 PY = '''"""Module."""
@@ -279,3 +280,11 @@ def test_origin_rows(spark):
     assert rows(origin.found(df)) == [(2,), (3,)]
     assert sum(r.files for r in origin.report(df).collect()) == 4
     assert origin.found(df.limit(0)).count() == 0
+
+
+def test_canonical_lines():
+    lines = lambda name, text: list(origin.canonical_lines(lex(text, language_of(name)), language_of(name)))
+    assert lines("a.js", "for(let i=0;i<3;i++){a();b()}// c") == ["for ( let i = 0 ; i < 3 ; i ++ ) {", "a ( ) ;", "b ( )", "}"]
+    assert lines("a.py", "if a: b=1;c={'x':2}\nd = [\n  1]\n") == ["if a :", "b = 1 ;", "c = { 'x' : 2 }", "d = [ 1 ]"]
+    assert origin.origin("g", "/r/g/a.py", "a=1;b=2;c=3;d=f(a,b,c);" * 40 + "\nif a: b=1;c=2\n") == "minified"
+    assert lines("a.ts", "") == []
