@@ -131,8 +131,8 @@ class Canon:
                 counts[ord(c) - 97 if "a" <= c <= "z" else 26] += 1
         return counts
 
-    def mention(self, tokens: list[str]) -> int | None:
-        """The entry of the longest mention (then the first) among those that don't overlap a longer one."""
+    def mention(self, tokens: list[str]) -> tuple[int, int] | None:
+        """Length and entry of the longest mention (then the first) among those that don't overlap a longer one."""
         text = f" {' '.join(tokens)} "
         best = None
         for end, (length, i, form) in self.automaton.iter(text):
@@ -143,7 +143,7 @@ class Canon:
                 continue
             if best is None or length > best[0]:
                 best = length, i
-        return best and best[1]
+        return best
 
     def similar(self, tokens: list[str]) -> int | None:
         """The entry whose form's token set is most like ``tokens``, if it is like enough."""
@@ -177,11 +177,14 @@ class Canon:
         tokens = words(value)
         if not self.forms or not any(c.isalpha() for c in value):
             return -1
-        exact = self.compact.get("".join(tokens))
-        if exact is None:
-            exact = self.mention(tokens)
-        if exact is not None:
-            return exact
+        mention = self.mention(tokens)
+        if mention and mention[0] == len(" ".join(tokens)):
+            return mention[1]
+        joined = self.compact.get("".join(tokens))  # written as one word, or with other breaks
+        if joined is not None:
+            return joined
+        if mention:
+            return mention[1]
         if tokens[0] in NEGATIONS and not any(form.startswith(f"{tokens[0]} ") for form in self.forms):
             return -1
         kept = [t for t in tokens if t not in FILLERS and not (len(t) > 5 and t.endswith("ly"))]
@@ -207,9 +210,9 @@ def token_set_cost(tokens: list[str], form: list[str], most: int) -> int:
 
 
 def map_to_canonical(rows: DataFrame, canonical: DataFrame, id_col: str = "id", value_col: str = "predicate") -> DataFrame:
-    """``(fact_id, value, predicate_id)`` of every row whose value is neither blank nor character for character a canonical name.
+    """``(fact_id, value, received_at, predicate_id)`` of every row whose value is neither blank nor character for character a canonical name.
 
-    ``canonical`` has ``predicate_id``, ``name``, ``aliases``; it goes whole to every task and may
+    A fact's rows also keep ``received_at``, null where ``rows`` has none.  ``canonical`` has ``predicate_id``, ``name``, ``aliases``; it goes whole to every task and may
     have at most ``MOST_CANONICAL`` rows.  ``predicate_id`` is -1 where no entry is meant.  Null
     and blank (spaces or tabs) values give no row; repeated rows give repeated rows; an empty list
     gives -1 throughout.
@@ -234,14 +237,15 @@ def map_to_canonical(rows: DataFrame, canonical: DataFrame, id_col: str = "id",
             yield batch.assign(predicate_id=values.map(known).astype("int64"))
 
     value = F.col("value")
-    free = rows.select(F.col(id_col).cast("long").alias("fact_id"), F.col(value_col).alias("value"))
+    free = rows.select(F.col(id_col).cast("long").alias("fact_id"), F.col(value_col).alias("value"), (F.col("received_at") if "received_at" in rows.columns else F.lit(None)).cast("timestamp").alias("received_at"))
     free = free.filter(value.isNotNull() & ~value.rlike(r"^[ \t]*\z") & ~value.isin(*names) if names else value.isNotNull() & ~value.rlike(r"^[ \t]*\z"))
-    return free.mapInPandas(look_up, "fact_id long, value string, predicate_id long")
+    return free.mapInPandas(look_up, "fact_id long, value string, received_at timestamp, predicate_id long")
 
 
 def found(rows: DataFrame, canonical: DataFrame) -> DataFrame:
-    """``(fact_id, predicate_id)``: each fact once; of a fact delivered with different values, the highest id counts."""
-    return map_to_canonical(rows, canonical).groupBy("fact_id").agg(F.max("predicate_id").alias("predicate_id"))
+    """``(fact_id, predicate_id)``: each fact once; of a fact delivered with different values, that received last counts (then the highest id)."""
+    latest = F.struct(F.coalesce(F.unix_micros("received_at"), F.lit(-(2**63))).alias("at"), "predicate_id")
+    return map_to_canonical(rows, canonical).groupBy("fact_id").agg(F.max_by("predicate_id", latest).alias("predicate_id"))
 
 
 def unmatched_report(rows: DataFrame, canonical: DataFrame) -> DataFrame:

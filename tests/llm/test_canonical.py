@@ -63,3 +63,12 @@ def test_long_list_is_refused(spark, monkeypatch):
     reference = spark.createDataFrame(ENTRIES, "predicate_id long, name string, aliases array<string>")
     with pytest.raises(ValueError):
         canonical.found(spark.createDataFrame([(1, "x")], "id long, predicate string"), reference)
+
+
+def test_the_latest_delivery_counts(spark):
+    reference = spark.createDataFrame(ENTRIES, "predicate_id long, name string, aliases array<string>")
+    facts = spark.createDataFrame([(1, "reads from", 1), (1, "supporting", 2), (2, "tested using", 2), (2, "cause", 1), (3, "cause", None)], "id long, predicate string, at long")
+    from pyspark.sql import functions as F
+
+    dated = facts.withColumn("received_at", F.timestamp_seconds("at"))
+    assert rows(canonical.found(dated, reference)) == [(1, 8), (2, 24), (3, 6)]
