@@ -56,7 +56,7 @@ def tokens(files: DataFrame) -> DataFrame:
     """The tokens of every ``.ts`` and ``.tsx`` file but comments and closing brackets, each with its place among brackets.
 
     ``scope`` is the number of the bracket that a token stands in (-1: none), ``close_n`` where a
-    bracket closes; ``before`` and ``after`` are the neighbours in the same scope, so that a bracket
+    bracket closes (one that nothing closes does at the end); ``before`` and ``after`` are the neighbours in the same scope, so that a bracket
     with all its content is one neighbour.  ``doc`` is the comment right before a token.  Rows with one
     ``id`` are one file.
     """
@@ -70,7 +70,7 @@ def tokens(files: DataFrame) -> DataFrame:
     closed = F.col("opens") & F.coalesce(F.lead("closes").over(level), F.lit(False))
     rows = rows.withColumns(
         {
-            "close_n": F.when(closed, F.lead("n").over(level)),
+            "close_n": F.when(closed, F.lead("n").over(level)).when(F.col("opens"), F.max("n").over(file.rowsBetween(*_WHOLE)) + 1),
             "close_line": F.when(closed, F.lead("line").over(level)).when(F.col("opens"), F.max("last_line").over(file.rowsBetween(*_WHOLE))),
             "scope": F.coalesce(F.last(F.when(F.col("begins"), F.col("n") - 1), True).over(level), F.lit(-1)),
         }
@@ -80,7 +80,7 @@ def tokens(files: DataFrame) -> DataFrame:
     columns = {"before": ("text", 1), "before2": ("text", 2), "before3": ("text", 3), "before_kind": ("kind", 1), "before2_kind": ("kind", 2), "before_line": ("end_line", 1)}
     rows = rows.withColumns({name: F.lag(c, k).over(scope) for name, (c, k) in columns.items()} | {"after": F.lead("text").over(scope), "after2": F.lead("text", 2).over(scope), "after_kind": F.lead("kind").over(scope)})
     # a line that begins something new: neither the token before it nor its first one asks for more
-    operand = (F.col("before_kind") != "op") & ~F.col("before").isin(_UNARY_WORDS) | F.col("before").isin("(", "[", "{", ">", ">>")
+    operand = (F.col("before_kind") != "op") & ~F.col("before").isin([word for word in _UNARY_WORDS if word != "void"]) | F.col("before").isin("(", "[", "{", ">", ">>")
     new_line = F.coalesce(F.col("before_line") < F.col("line"), F.lit(False)) & operand & ((F.col("kind") != "op") & ~F.col("text").isin(_INFIX_WORDS) | _op("@", "++", "--"))
     return rows.withColumn("new_line", new_line).drop("opens", "closes", "begins", "close_line", "last_line")
 
@@ -128,8 +128,7 @@ def _heads(rows: DataFrame) -> DataFrame:
         return F.min(F.when(condition, value)).over(whole)
 
     n = F.col("n")
-    later = F.col("next") == "async"
-    later = later & (F.col("next2") != "=>")
+    later = (F.col("next") == "async") & (F.col("next2") != "=>")
     takes, then = F.when(later, F.col("next2")).otherwise(F.col("next")), F.when(later, F.col("next3")).otherwise(F.col("next2"))
     takes_kind, takes_n = F.when(later, F.col("next2_kind")).otherwise(F.col("next_kind")), F.when(later, F.col("next2_n")).otherwise(F.col("next_n"))
     arrow = F.struct(takes.alias("takes"), takes_kind.alias("kind"), F.when(takes == "(", takes_n).alias("params"), then.alias("then"))
@@ -174,6 +173,7 @@ def _declared(heads: DataFrame) -> DataFrame:
 
 def _calls(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Calls by the innermost function, arrow function or class that they stand in, where that is an entity."""
+    found = found.filter(F.col("label").isin("Function", "Method", "Constructor", "Class"))
     scope = Window.partitionBy("file_id", "scope").orderBy("n")
     following = scope.rowsBetween(1, Window.unboundedFollowing)
     breaks = F.min(F.when(_op(",", ";") | F.col("new_line"), F.col("n"))).over(following)
@@ -188,7 +188,7 @@ def _calls(rows: DataFrame, found: DataFrame) -> DataFrame:
     call = word & (_is("after", "(") & ~_is("after2", "{") | generic) & (~F.col("text").isin(*_STATEMENT_WORDS) | _is("before", ".", "?.")) & ~_is("before", "new", "function", "@")
     declares = (F.col("level") == 1) & _member(_is("before", *_MODIFIERS, "*")) & ~F.col("in_value")  # in a class: a method without a body
     # calls that are an arrow function's whole value: no operator between the arrow and them, and nothing behind them
-    operators = F.sum((_op(".", "?.", "(", "[") | (F.col("kind") != "op") & ~F.col("text").isin(*_UNARY_WORDS)).cast("int") * -1 + 1).over(scope)
+    operators = F.sum((~_op(".", "?.", "(", "[") & ((F.col("kind") == "op") | F.col("text").isin(*_UNARY_WORDS))).cast("int")).over(scope)
     arrow_end = F.when(_is("after", "{"), F.col("after_close")).otherwise(F.coalesce(F.col("breaks") - 1, F.col("scope_end")))
     statements = F.sum((_op(";") | F.col("new_line")).cast("int")).over(scope)
     values = F.sum(_op("=").cast("int")).over(Window.partitionBy("file_id", "scope", "statement").orderBy("n"))

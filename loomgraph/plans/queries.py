@@ -455,9 +455,9 @@ def ts_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _named_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Entities with ids, and the edges to what the same graph declares under the name that is referred to (first by path)."""
     files = table(spark, sf_dir, "files", "graph", "id", "path", "content")
-    found = typescript.entities(files).withColumn("entity_id", F.col("file_id") * 100_000 + F.col("ord"))
+    found, references = typescript.analysed(files)
+    found = found.withColumn("entity_id", F.col("file_id") * 100_000 + F.col("ord"))
     places = found.groupBy("graph", "name").agg(F.min(F.struct("path", "src_start")).alias("at")).select("graph", "name", F.col("at.path").alias("target_path"), F.col("at.src_start").alias("target_line"))
-    references = typescript.references(files)
     definitions = references.join(places, ["graph", "name"]).select("graph", "path", "line", "col", "target_path", "target_line").distinct()
     return found, typescript.edges(references, definitions, found)
 
