@@ -118,7 +118,9 @@ def _heads(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns({name: F.lead(c, k).over(part) for name, (c, k) in {"next": ("text", 1), "next2": ("text", 2), "next3": ("text", 3), "next_n": ("n", 1), "next2_n": ("n", 2), "next_kind": ("kind", 1), "next2_kind": ("kind", 2)}.items()})
     here = F.struct("n", "end_n", "end_line")
     ends = _op(";") | F.col("next").isNull() | _is("next", ",") | F.coalesce(F.lead("new_line").over(part), F.lit(False))
-    rows = rows.withColumns({"here": here, "end": F.min(F.when(ends, here)).over(part.rowsBetween(0, Window.unboundedFollowing))})
+    backwards = Window.partitionBy("file_id", "scope", "part").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"here": here, "ends": ends})
+    rows = rows.withColumn("end", F.last(F.when(F.col("ends"), F.col("here")), True).over(backwards))
     # an arrow's last token: the end of its block and a semicolon after it, or the end of the statement
     block = F.when(_is("next2", ";"), F.lead("here", 2).over(part)).otherwise(F.lead("here").over(part))
     rows = rows.withColumn("arrow_end", F.when(_op("=>"), F.when(_is("next", "{"), block).otherwise(F.lead("end").over(part))))
@@ -175,9 +177,9 @@ def _calls(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Calls by the innermost function, arrow function or class that they stand in, where that is an entity."""
     found = found.filter(F.col("label").isin("Function", "Method", "Constructor", "Class"))
     scope = Window.partitionBy("file_id", "scope").orderBy("n")
-    following = scope.rowsBetween(1, Window.unboundedFollowing)
-    breaks = F.min(F.when(_op(",", ";") | F.col("new_line"), F.col("n"))).over(following)
-    brace = F.min(F.when(_op("{") & ~_is("before", ":", "|", "&"), F.struct("n", "close_n"))).over(following)
+    following = Window.partitionBy("file_id", "scope").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    breaks = F.last(F.when(_op(",", ";") | F.col("new_line"), F.col("n")), True).over(following)
+    brace = F.last(F.when(_op("{") & ~_is("before", ":", "|", "&"), F.struct("n", "close_n")), True).over(following)
     rows = rows.withColumns({"breaks": breaks, "brace": brace, "scope_end": F.max("end_n").over(scope.rowsBetween(*_WHOLE)), "after_end": F.lead("end_n").over(scope), "after_close": F.lead("close_n").over(scope)})
     # type arguments of a call: what stands behind the bracket that closes them
     angles = Window.partitionBy("file_id", "scope", "angle_level").orderBy("n")
