@@ -95,3 +95,15 @@ def cosine_distance(a: Column, b: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
     return 1 - F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
+
+
+def hit_text(rank: Column, score: Column, source: Column, first: Column, last: Column, breadcrumb: Column, content: Column) -> Column:
+    """A search hit as markdown; of a content beyond 500 bytes the whole characters within them and three dots.  Nulls are empty."""
+    raw = F.encode(content, "UTF-8")
+    kept = F.lit(497)
+    for end in (498, 499, 500):  # up to the last place within the limit before which a character begins
+        kept = F.when(F.hex(F.substring(raw, end + 1, 1)).between("80", "BF"), kept).otherwise(F.lit(end))
+    shown = F.when(F.octet_length(content) > 500, F.concat(F.decode(raw.substr(F.lit(1), kept), "UTF-8"), F.lit("..."))).otherwise(content)
+    parts = [F.coalesce(part.cast("string"), F.lit("")) for part in (source, first, last, breadcrumb, shown)]
+    head = F.format_string("### Result %d (score: %.4f)\n", rank.cast("int"), score.cast("double"))
+    return F.concat(head, F.format_string("**Source:** %s (lines %s–%s)\n**Breadcrumb:** %s\n\n%s\n\n---\n\n", *parts))

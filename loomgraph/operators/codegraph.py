@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators.ordering import running_sum
 
+#: The labels of code entities that a document can be linked to.
+LABELS = ("Class", "Function", "Method", "Interface", "Enum", "Constructor")
 _KEY = ["graph", "label", "name", "path", "parent_name"]
 
 
@@ -19,6 +21,11 @@ def merge_entities(rows: DataFrame) -> DataFrame:
     return merged.select(*_KEY, "id", "last.src_start", "last.src_end", "last.doc")
 
 
+def code_entities(rows: DataFrame) -> DataFrame:
+    """``(graph, id, name)`` of the code entities, once each; rows of other labels, or of none, are no code."""
+    return rows.filter(F.col("label").isin(*LABELS)).select("graph", "id", "name").distinct()
+
+
 def merge_edges(edges: DataFrame) -> DataFrame:
     """``(type, src, dst, pos)``: each edge once, with the position written last (the highest)."""
     return edges.groupBy("type", "src", "dst").agg(F.max("pos").alias("pos"))

@@ -33,6 +33,13 @@ def hash_embedder(texts: list[str]) -> list[list[float]]:
     return out
 
 
+def in_request_order(answer: list) -> list:
+    """The vectors of an embedder's answer; where they come as ``(index, vector)``, in order of index."""
+    if answer and isinstance(answer[0], tuple):
+        return [vector for _, vector in sorted(answer, key=lambda item: item[0])]
+    return answer
+
+
 def embed(rows: DataFrame, embedder=hash_embedder, dim: int = DIM) -> DataFrame:
     """``rows`` (``new_id, text``) as ``(new_id, vector)``; the embedder is called with a few texts at a time, and vectors cut to ``dim``."""
 
@@ -40,7 +47,7 @@ def embed(rows: DataFrame, embedder=hash_embedder, dim: int = DIM) -> DataFrame:
         for batch in batches:
             for start in range(0, len(batch), TEXTS_PER_REQUEST):
                 part = batch.iloc[start : start + TEXTS_PER_REQUEST]
-                vectors = embedder(part["text"].tolist())
+                vectors = in_request_order(embedder(part["text"].tolist()))
                 if len(vectors) != len(part):
                     raise ValueError(f"{len(part)} texts gave {len(vectors)} vectors")
                 yield pd.DataFrame({"new_id": part["new_id"].to_numpy(), "vector": [[float(x) for x in v[:dim]] for v in vectors]})
@@ -93,3 +100,16 @@ def reingest(stored: DataFrame, docs: DataFrame, now_ms: int, cut, embedder=hash
     report = matches.groupBy("source", "action").agg(F.count(F.lit(1)).alias("count"))
     report = report.unionByName(identity.orphaned(stored, matches).groupBy("source").agg(F.count(F.lit(1)).alias("count")).withColumn("action", F.lit("orphaned")))
     return cut(kept.unionByName(rows)), report
+
+
+def totals(report: DataFrame, chunks: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row of what a re-ingest did: chunks by action, ``stored`` ones, ``orphaned`` ones, and of its sources the ``oversized`` chunks and ``edges`` to code.
+
+    ``report`` and ``chunks`` come from ``reingest``, ``edges`` (``chunk_id``) from the linker.  Of nothing all are 0.
+    """
+    actions = [F.coalesce(F.sum(F.when(F.col("action") == action, F.col("count"))), F.lit(0)).alias(action) for action in ("created", "updated", "renamed", "unchanged", "orphaned")]
+    own = chunks.filter("orphaned_at is null").join(report.select("source").distinct(), "source", "left_semi")
+    oversized = own.agg(F.count_if(F.coalesce("oversized", F.lit(False))).alias("oversized"))
+    linked = edges.join(own.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").agg(F.count(F.lit(1)).alias("edges"))
+    counted = report.agg(*actions).withColumn("stored", F.col("created") + F.col("updated") + F.col("renamed"))
+    return counted.crossJoin(oversized).crossJoin(linked)  # of one row each

@@ -61,6 +61,18 @@ def facts_backed_by(facts: DataFrame, edges: DataFrame, observations: DataFrame)
     return facts.join(ends, "id", "left_semi")
 
 
+def about_entities(documents: DataFrame, motivates: DataFrame, evidence: DataFrame, facts: DataFrame) -> DataFrame:
+    """``(graph, entity_id, observation_id, facts)``: the observations behind the chunks that describe each entity.
+
+    From DOCUMENTS edges (``graph, chunk_id, entity_id``), MOTIVATES and EVIDENCE_FOR edges (``src, dst``);
+    ``facts`` are the objects that an observation is evidence for, sorted, once each, and empty if there are none.
+    """
+    behind = documents.join(motivates.select(F.col("dst").alias("chunk_id"), F.col("src").alias("observation_id")), "chunk_id").select("graph", "entity_id", "observation_id").distinct()
+    stated = evidence.select(F.col("src").alias("observation_id"), F.col("dst").alias("id")).join(facts.select("id", "object"), "id")
+    stated = stated.groupBy("observation_id").agg(F.array_sort(F.collect_set("object")).alias("facts"))
+    return behind.join(stated, "observation_id", "left").select("graph", "entity_id", "observation_id", F.coalesce("facts", F.array().cast("array<string>")).alias("facts"))
+
+
 def count_evidence(facts: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, evidence)``: how many observations back each fact, 0 included."""
     counts = edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("evidence"))

@@ -4,9 +4,10 @@ Every function takes tables and returns the changed ones; nothing is written in
 edges that don't exist, and lookups of rows that don't, raise an error that names them.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.text import hit_text
 from loomgraph.operators import knn, memory
 from loomgraph.operators.ordering import running_sum
 
@@ -78,6 +79,12 @@ def search_chunks(chunks: DataFrame, vectors: DataFrame, query: list[float], k:
     return _hits(chunks, vectors, query, k, ["breadcrumb", "content", "source", "line_start", "line_end"], "score")
 
 
+def hit_texts(hits: DataFrame) -> DataFrame:
+    """``(rank, text)`` of what ``search_chunks`` found, each hit as markdown, best first; the few hits are one group."""
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("score", "id")))
+    return ranked.select("rank", hit_text(*(F.col(c) for c in ("rank", "score", "source", "line_start", "line_end", "breadcrumb", "content"))).alias("text"))
+
+
 def search_observations(observations: DataFrame, vectors: DataFrame, query: list[float], k: int = 5) -> DataFrame:
     """``(id, distance, content)`` of the ``k`` observations nearest to ``query``."""
     return _hits(observations, vectors, query, k, ["content"], "distance")

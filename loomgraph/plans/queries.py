@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import text as T
 from loomgraph.operators import chunker, codegraph, identity, ingest, knn, linker, memory, store, typescript
 from loomgraph.plans.lineage import cut
-from loomgraph.sources.tables import table
+from loomgraph.sources.tables import of_graph, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -596,3 +596,68 @@ def evidence_in_time_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""select id, regexp_extract(path, '[^/]*$') base, regexp_extract(path, '\.[^./]*$') ext from files""")
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "files", "id", "path").select("id", T.base_name(F.col("path")).alias("base"), T.extension(F.col("path")).alias("ext"))
+
+
+@query(f"select distinct graph, id, name from entities where label in ({', '.join(f"'{label}'" for label in codegraph.LABELS)})")
+def code_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codegraph.code_entities(table(spark, sf_dir, "entities", "graph", "id", "name", "label"))
+
+
+@query("select id, source, breadcrumb, line_start from chunks where graph = 'harbor-core'")
+def chunks_of_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return of_graph(spark, sf_dir, "chunks", "harbor-core", "id", "source", "breadcrumb", "line_start")
+
+
+@query(f"with {_OBSERVED}, {_MOTIVATES} select o.id, o.created_at from o where not exists (select 1 from m where m.src = o.id)")
+def observations_without_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    observations, _, edges = _motivates(spark, sf_dir)
+    return observations.select("id", "created_at").join(edges.select(F.col("src").alias("id")), "id", "left_anti")
+
+
+_DESCRIBED = _EDGES.replace(_ENTITY_NAMES, _ENTITY_NAMES.replace("e as", "x as", 1)).replace("e.id entity_id from t join e on e.graph = t.graph and e.name", "x.id entity_id from t join x on x.graph = t.graph and x.name")
+
+
+@query(f"""with {_OBSERVED}, {_MOTIVATES}, {_DESCRIBED} select d.graph, d.entity_id, m.src observation_id, array_to_string(list_sort(list(distinct f.object) filter (f.object is not null)), ',') facts
+from d join m on m.dst = d.chunk_id left join e on e.src = m.src left join f on f.id = e.dst group by d.graph, d.entity_id, m.src""")
+def observations_about_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, facts, evidence = memory.observe(table(spark, sf_dir, "events"))
+    about = memory.about_entities(documents_edges(spark, sf_dir), _motivates(spark, sf_dir)[2], evidence, facts)
+    return about.withColumn("facts", F.nullif(F.array_join("facts", ","), F.lit("")))
+
+
+@query("select id, to_json({'id': id, 'source': source, 'breadcrumb': breadcrumb, 'line_start': line_start, 'line_end': line_end})::varchar as json from chunks")
+def chunks_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "chunks", "id", "source", "breadcrumb", "line_start", "line_end")
+    return chunks.select("id", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+@query("select id, path, case when starts_with(path, '/workspace/') then substr(path, 12) else path end relative from files")
+def file_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "files", "id", "path")
+    uri = F.concat(F.lit("file://"), F.replace(F.replace("path", F.lit("%"), F.lit("%25")), F.lit(" "), F.lit("%20")))
+    return files.select("id", T.uri_path(uri).alias("path"), T.relative_path(F.col("path"), "/workspace").alias("relative"))
+
+
+@query()
+def search_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return store.hit_texts(store.search_chunks(table(spark, sf_dir, "chunks"), vectors, _first_vector(vectors), 10))
+
+
+@query()
+def ingest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "path", "text", "received_at").filter("path is not null and text is not null")
+    latest = docs.groupBy(F.col("path").alias("source")).agg(F.max_by("text", F.struct("received_at", "text")).alias("text"))
+    chunks, report = ingest.reingest(spark.createDataFrame([], ingest.CHUNKS), latest, NOW_MS, cut)
+    names = codegraph.code_entities(table(spark, sf_dir, "entities", "graph", "id", "name", "label"))
+    edges = linker.link(chunks.select(F.lit("harbor-core").alias("graph"), "id", "content", "orphaned_at"), names)
+    return ingest.totals(report, chunks, edges)
+
+
+@query()
+def analyze_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each graph its TypeScript files, their entities, and the relationships stated, repeated ones included."""
+    files = table(spark, sf_dir, "files", "graph", "id", "path", "content")
+    found, references = typescript.analysed(files)
+    counts = found.groupBy("graph").agg(F.countDistinct("file_id").alias("files"), F.count(F.lit(1)).alias("entities"))
+    return counts.join(references.groupBy("graph").agg(F.count(F.lit(1)).alias("relationships")), "graph", "left").fillna(0, ["relationships"])

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.functions.text import is_oversized
-from loomgraph.operators import chunker, ordering, store
+from loomgraph.operators import chunker, codegraph, ingest, memory, ordering, store
+from loomgraph.sources.tables import of_graph
 
 
 @pytest.fixture(scope="module")
@@ -107,3 +108,48 @@ def test_names_and_paths(spark):
     assert [r[0] for r in df.select(T.relative_path(F.col("p"), "/r/")).collect()][1] == "x/y"
     assert [tuple(r) for r in df.select(T.base_name(F.col("p")), T.extension(F.col("p"))).collect()] == [("c+d.Ts", ".Ts"), ("y", ""), (None, None)]
     assert T.list_of(" a, ,b ") == ["a", "b"] and T.list_of("") == []
+
+
+def test_hits_as_text(spark):
+    long = "é" * 300
+    schema = "id long, breadcrumb string, content string, source string, line_start int, line_end int, score double"
+    hits = spark.createDataFrame([(2, "A > B", long, "s.md", 3, 9, 0.25), (1, None, None, None, None, None, 0.25), (3, "x", "a" + long, "s", 1, 1, 0.5), (4, "x", "y" * 500, "s", 1, 1, 0.75)], schema)
+    texts = [r.text for r in store.hit_texts(hits).orderBy("rank").collect()]
+    assert texts[0] == "### Result 1 (score: 0.2500)\n**Source:**  (lines –)\n**Breadcrumb:** \n\n\n\n---\n\n"
+    assert texts[1] == f"### Result 2 (score: 0.2500)\n**Source:** s.md (lines 3–9)\n**Breadcrumb:** A > B\n\n{'é' * 250}...\n\n---\n\n"
+    assert "a" + "é" * 249 + "...\n" in texts[2] and "y" * 500 + "\n" in texts[3]
+    assert store.hit_texts(hits.limit(0)).count() == 0
+
+
+def test_entities_described_by_chunks_with_motives(spark):
+    documents = spark.createDataFrame([("g", 1, 10), ("g", 2, 10), ("g", 1, 11), ("g", 9, 12), (None, 1, 13)], "graph string, chunk_id long, entity_id long")
+    motivates = spark.createDataFrame([(5, 1), (5, 2), (6, 2), (6, 2), (7, 77)], "src long, dst long")
+    evidence = spark.createDataFrame([(5, 100), (5, 101), (5, 101), (6, 999)], "src long, dst long")
+    facts = spark.createDataFrame([(100, "b", "x"), (101, "a", "x"), (102, None, "x")], "id long, object string, graph string")
+    about = memory.about_entities(documents, motivates, evidence, facts)
+    assert rows(about) == sorted([("g", 10, 5, ["a", "b"]), ("g", 10, 6, []), ("g", 11, 5, ["a", "b"]), (None, 13, 5, ["a", "b"])], key=str)
+    assert memory.about_entities(documents.limit(0), motivates, evidence, facts).count() == 0
+
+
+def test_code_entities_and_tables_of_a_graph(spark, tmp_path):
+    df = spark.createDataFrame([("g", 1, "a", "Class"), ("g", 1, "a", "Class"), ("g", 2, "b", "File"), ("h", 3, None, "Enum"), ("h", 4, "c", None)], "graph string, id long, name string, label string")
+    assert rows(codegraph.code_entities(df)) == [("g", 1, "a"), ("h", 3, None)]
+    df.write.partitionBy("graph").parquet(f"{tmp_path}/entities.parquet")
+    assert rows(of_graph(spark, str(tmp_path), "entities", "h", "id")) == [(3,), (4,)]
+    assert of_graph(spark, str(tmp_path), "entities", "none").count() == 0
+    with pytest.raises(ValueError):
+        of_graph(spark, str(tmp_path), "entities", "")
+
+
+def test_totals_of_a_reingest(spark):
+    report = spark.createDataFrame([("s", "created", 2), ("t", "created", 1), ("s", "renamed", 1), ("s", "orphaned", 4)], "source string, action string, count long")
+    chunks = spark.createDataFrame([(1, "s", True, None), (2, "s", None, None), (3, "s", True, 7), (4, "u", True, None)], "id long, source string, oversized boolean, orphaned_at long")
+    edges = spark.createDataFrame([(1,), (1,), (2,), (3,), (4,)], "chunk_id long")
+    names = ["created", "updated", "renamed", "unchanged", "orphaned", "stored", "oversized", "edges"]
+    assert rows(ingest.totals(report, chunks, edges).select(*names)) == [(3, 0, 1, 0, 4, 4, 1, 3)]
+    assert rows(ingest.totals(report.limit(0), chunks, edges).select(*names)) == [(0,) * 8]
+
+
+def test_answers_in_order_of_their_index():
+    assert ingest.in_request_order([(1, [2.0]), (0, [1.0])]) == [[1.0], [2.0]]
+    assert ingest.in_request_order([[2.0], [1.0]]) == [[2.0], [1.0]] and ingest.in_request_order([]) == []
