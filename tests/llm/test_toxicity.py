@@ -1,4 +1,6 @@
+import pickle
 import random
+import time
 
 from conftest import rows
 
@@ -82,3 +84,37 @@ def test_probabilities_of_a_context_add_up():
     words = ["a", "b", "c", "</s>"]
     for context in (("<s>", "<s>"), ("a", "b"), ("b", "b"), ("c", "a")):
         assert abs(sum(counts.probability(*context, word, 1 / len(words)) for word in words) - 1) < 1e-9
+
+
+def tricky(rng):
+    pieces = ["You are a stupid moron", "s t u p i d", "m*ron", "**idiot**", "@bob", "@bob@bob", "$hit", "$a$b#1*c", "# ", "a_b_c", "1d10t", "uuuseless", "é", "Жук", "…", "​", "́", " ", "\x00", "\x01", "\x1c", ". ", "!\n", "\n\n", "\n- ", ": ", " ", " ", "*", "$", "the router reads rows from the queue"]
+    return "".join(rng.choice(pieces) for _ in range(rng.randint(0, 40)))
+
+
+def test_scores_of_many_texts_are_those_of_each():
+    models, rng = toxicity.fit(labelled()), random.Random(6)
+    texts = [None, "", " ", "#", "\x01", "word " * 1_000, "You are a stupid moron and " * 9, *(tricky(rng) for _ in range(3_000)), *(document(k % 2) for k in range(200))]
+    for own in (toxicity.scorer_of(models), pickle.loads(pickle.dumps(toxicity.scorer_of(models)))):
+        for _ in range(2):  # also from memory
+            assert max(abs(a - models.score(b)) for a, b in zip(own.scores(texts), texts, strict=True)) < 1e-9
+    assert len(toxicity.scorer_of(models).scores([])) == 0 and list(toxicity.scorer_of(models).scores([None])) == [toxicity.LOWEST]
+
+
+def test_what_is_remembered_does_not_change_scores(monkeypatch):
+    models, texts = toxicity.fit(labelled()), [tricky(random.Random(k)) for k in range(300)]
+    expected = list(toxicity.scorer_of(models).scores(texts))
+    for name, least in (("PLACE_BITS", 1), ("MET_TOKENS", 3), ("TEXTS_PER_BLOCK", 1), ("WORDS_PER_BLOCK", 1)):
+        monkeypatch.setattr(toxicity, name, least)
+    assert max(abs(a - b) for a, b in zip(toxicity.scorer_of(models).scores(texts), expected, strict=True)) < 1e-12
+    monkeypatch.setattr(toxicity, "MOST_WORDS", 0)  # too many words to number their triples
+    assert max(abs(a - b) for a, b in zip(toxicity.scorer_of(models).scores(texts), expected, strict=True)) < 1e-9
+
+
+def test_many_texts_cost_less_than_each():
+    models, texts = toxicity.fit(labelled()), [document(k % 5 == 0) for k in range(6_000)]
+    own, took = toxicity.scorer_of(models), []
+    for score in (lambda: own.scores(texts), lambda: [models.score(text) for text in texts]):
+        began = time.process_time()
+        score()
+        took.append(time.process_time() - began)
+    assert took[0] < 0.6 * took[1]
