@@ -42,38 +42,92 @@ BUCKET_PLACES = 800_000
 FENCE_RECORDS = 4_000
 #: Suffixes of a batch for which there is a group of records whose matches are added up together.
 GROUP_PLACES = 150_000
+#: Matches of common suffixes for which there is a group of pairs whose matches are added up together.
+GROUP_MATCHES = 1_000_000
 #: Matches of common suffixes up to which they are all looked up without first finding bounds for them (same results).
 REST_AT_ONCE = 1_000_000
 #: Pairs up to which the pairs of a batch are broadcast (16 bytes each).
 BROADCAST_PAIRS = 200_000
+#: Characters of texts that are taken apart at once, and words of pairs that are compared at once (same results).
+TEXT_BLOCK, PAIR_BLOCK = 1_000_000, 500_000
 
 #: Shares of a text are counted in ten-thousandths.
 _ALL = 10_000
 _NEED = int(LEAST_COVER * _ALL)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_IN_WORD = np.array([b >= 128 or chr(b) in "0123456789abcdefghijklmnopqrstuvwxyz" for b in range(256)])
 _SHORT_KEYS, _WHOLE_KEYS = np.uint64(1 << 60), np.uint64(2 << 60)
 _RECORD = "id long, batch_no int, whole long, whole2 long, codes binary"
 _FOUND = "group int, inside boolean, range int, ids binary, kept_ids binary, shares binary, hot_ids binary, hot_keys binary, hot_shares binary, hot_n binary"
-_WEIGHED = "kind string, id long, kept_id long, share int, inside boolean, key long, range int, missing int, n long"
-_BLOCK = "range int, size long, keys binary, ids binary, shares binary, more_keys binary, more_ids binary, more_shares binary"
+_WEIGHED = "kind string, id long, kept_id long, share int, inside boolean, key long, range int, missing int, n long, ids binary, kept_ids binary, shares binary, insides binary"
+_PAIRS = "group int, inside boolean, ids binary, kept_ids binary, shares binary"
+_BLOCK = "range int, size long, keys binary, ids binary, shares binary, more_keys binary, more_ids binary, more_shares binary, rest_keys binary, rest_ids binary"
+
+
+def _xxh32(text: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """xxHash's 32-bit hashes of the pieces of ``text``: all those under 16 bytes in one go, by the same steps."""
+    one, two, three, four, five = (np.uint32(p) for p in (2654435761, 2246822519, 3266489917, 668265263, 374761393))
+    data = np.frombuffer(text, np.uint8)
+    out = five + sizes.astype(np.uint32)
+
+    def step(which: np.ndarray, value: np.ndarray, times: np.uint32, bits: int, factor: np.uint32) -> None:
+        mixed = out[which] + value * times
+        out[which] = ((mixed << np.uint32(bits)) | (mixed >> np.uint32(32 - bits))) * factor
+
+    for k in range(0, 12, 4):
+        which = np.flatnonzero((sizes >= k + 4) & (sizes < 16))
+        at = starts[which] + k
+        value = data[at].astype(np.uint32)
+        for byte in (1, 2, 3):
+            value |= data[at + byte].astype(np.uint32) << np.uint32(8 * byte)
+        step(which, value, three, 17, four)
+    for k in range(3):
+        which = np.flatnonzero((sizes % 4 > k) & (sizes < 16))
+        step(which, data[starts[which] + sizes[which] // 4 * 4 + k].astype(np.uint32), five, 11, one)
+    out = (out ^ (out >> np.uint32(15))) * two
+    out = (out ^ (out >> np.uint32(13))) * three
+    out ^= out >> np.uint32(16)
+    for k in np.flatnonzero(sizes >= 16).tolist():
+        out[k] = xxhash.xxh32_intdigest(text[starts[k] : starts[k] + sizes[k]])
+    return out
+
+
+def _normal(text: str) -> bytes:
+    """``text`` with the words that ``normal_words`` finds in it, which ``_IN_WORD`` tells from what is between them.  No form of a character reaches over blanks."""
+    if text.isascii():
+        return text.lower().encode()
+    return " ".join(part.lower() if part.isascii() else " ".join(normal_words(part)) for part in text.split()).encode()
+
+
+def word_codes(texts: list[str]) -> list[bytes]:
+    """For each text the 32-bit codes of its normalised words."""
+    parts = [_normal(text) for text in texts]
+    joined = b"\n".join([b"", *parts, b""])
+    begins = np.cumsum([1, *(len(part) + 1 for part in parts)])
+    within = _IN_WORD[np.frombuffer(joined, np.uint8)]
+    edges = np.flatnonzero(within[1:] != within[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    codes = _xxh32(joined, starts, ends - starts).astype("<u4").tobytes()
+    cuts = (4 * np.searchsorted(starts, begins)).tolist()
+    return [codes[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def _blocks(sizes: np.ndarray, most: int, rows: int) -> list[np.ndarray]:
+    """The indices of ``sizes`` in blocks that come to about ``most`` and have up to ``rows`` each."""
+    before = np.cumsum(sizes) - sizes
+    index = np.arange(len(sizes))
+    parts = np.split(index, np.flatnonzero(np.diff(before // most)) + 1)
+    return [block for part in parts for block in np.split(part, range(rows, len(part), rows)) if len(block)]
 
 
 def records_of(rows: DataFrame) -> DataFrame:
     """``(id, batch_no, whole, whole2, codes)`` of ``rows`` with ``id``, ``batch_no``, ``content``: 32-bit codes of the normalised words, and two hashes of them all.  Texts without words give no row."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, int] = {}
         for batch in batches:
-            if len(memo) > 1_000_000:
-                memo.clear()
-            codes = []
-            for text in batch["content"]:
-                words = normal_words(text)
-                for word in words:
-                    if word not in memo:
-                        memo[word] = xxhash.xxh32_intdigest(word)
-                codes.append(np.array([memo[word] for word in words], "<u4").tobytes())
-            out = batch[["id", "batch_no"]].assign(codes=codes)
+            texts = batch["content"].tolist()
+            blocks = _blocks(np.array([len(text) for text in texts], np.int64), TEXT_BLOCK, len(texts) + 1)
+            out = batch[["id", "batch_no"]].assign(codes=[c for block in blocks for c in word_codes(texts[block[0] : block[-1] + 1])])
             out = out[out["codes"].map(len) > 0]
             for name, seed in (("whole", 0), ("whole2", 1)):
                 out[name] = np.array([xxhash.xxh64_intdigest(c, seed) for c in out["codes"]], np.uint64).view(np.int64)
@@ -158,9 +212,9 @@ def _names(schema: str) -> list[str]:
     return schema.replace(",", "").split()[::2]
 
 
-def _pack(number: int, entries: tuple, more: tuple) -> tuple:
+def _pack(number: int, entries: tuple, more: tuple, rest: tuple = (np.zeros(0), np.zeros(0))) -> tuple:
     kinds = ("<u8", "<i8", "<u2")
-    return (number, len(entries[0]), *(a.astype(t).tobytes() for a, t in zip(entries, kinds)), *(a.astype(t).tobytes() for a, t in zip(more, kinds)))
+    return (number, len(entries[0]), *(a.astype(t).tobytes() for part in (entries, more, rest) for a, t in zip(part, kinds)))
 
 
 def _unpack(row, names: tuple = ("keys", "ids", "shares"), kinds: tuple = ("<u8", "<i8", "<u2")) -> tuple[np.ndarray, ...]:
@@ -170,12 +224,14 @@ def _unpack(row, names: tuple = ("keys", "ids", "shares"), kinds: tuple = ("<u8"
 _MORE = ("more_keys", "more_ids", "more_shares")
 
 
-def _join_blocks(number: int, parts: list) -> tuple:
-    """One sorted block of the blocks ``parts`` of a range."""
+def _join_blocks(number: int, parts: list, hot: int) -> tuple:
+    """One sorted block of the blocks ``parts`` of a range; of more than ``hot`` equal suffixes all but the lowest ids stand in its ``rest``, too."""
     keys, ids, shares = (np.concatenate(a) for a in zip(*(_unpack(p) for p in parts)))
     more = tuple(np.concatenate(a) for a in zip(*(_unpack(p, _MORE) for p in parts)))
     order = np.lexsort((ids, keys))
-    return _pack(number, (keys[order], ids[order], shares[order]), more)
+    keys, ids = keys[order], ids[order]
+    rest = hot + np.flatnonzero(keys[hot:] == keys[:-hot])
+    return _pack(number, (keys, ids, shares[order]), more, (keys[rest], ids[rest]))
 
 
 def _codes(blob: bytes) -> np.ndarray:
@@ -184,13 +240,45 @@ def _codes(blob: bytes) -> np.ndarray:
 
 def likeness(x: np.ndarray, y: np.ndarray) -> float:
     """Share of word pairs that two texts, arrays of codes, have in common (of words, where one is shorter than two)."""
-    if min(len(x), len(y)) > 1:
-        x, y = ((t[:-1].astype(np.uint64) << np.uint64(32)) | t[1:] for t in (x, y))
-    if not len(x) + len(y):
-        return 0.0
-    (a, m), (b, n) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    return 2 * int(np.minimum(m[i], n[j]).sum()) / (len(x) + len(y))
+    return float(likenesses([x.astype("<u4").tobytes()], [y.astype("<u4").tobytes()])[0])
+
+
+def likenesses(xs: list[bytes], ys: list[bytes]) -> np.ndarray:
+    """The ``likeness`` of each of ``xs`` to the one of ``ys`` beside it."""
+    sizes = np.array([[len(x) // 4 for x in xs], [len(y) // 4 for y in ys]], np.int64).reshape(2, -1)
+    out = np.zeros(len(xs))
+    for block in _blocks(sizes.sum(0), PAIR_BLOCK, 1 << 16):
+        first, end = block[0], block[-1] + 1
+        out[first:end] = _likenesses(np.frombuffer(b"".join(xs[first:end] + ys[first:end]), "<u4").astype(np.uint64), sizes[:, first:end])
+    return out
+
+
+def _likenesses(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The same for at most 65,536 pairs, whose first texts and then second texts stand in ``flat``.
+
+    What a text is made of becomes numbers of the pair (16 bits), a hash (47 bits) and the side, so
+    that one sort brings together what the two have in common.
+    """
+    count = sizes.shape[1]
+    by_words = np.tile(sizes.min(0) < 2, 2)
+    sizes = sizes.ravel()
+    owner = np.repeat(np.arange(2 * count), sizes)
+    of_words = by_words[owner]
+    made = flat << np.uint64(32)
+    made[:-1] |= np.where(of_words[:-1], 0, flat[1:]).astype(np.uint64)
+    kept = np.ones(len(flat), bool)
+    kept[(np.cumsum(sizes) - 1)[(sizes > 0) & ~by_words]] = False  # no word follows
+    made, owner = made[kept], owner[kept]
+    made = (made ^ (made >> np.uint64(29))) * _MULTIPLIER
+    made = np.sort(((owner % count).astype(np.uint64) << np.uint64(48)) | (made >> np.uint64(17) << np.uint64(1)) | (owner >= count).astype(np.uint64))
+    total = np.bincount(owner % count, minlength=count)
+    if not len(made):
+        return np.zeros(count)
+    bare = made >> np.uint64(1)
+    begin = np.flatnonzero(np.append(True, bare[1:] != bare[:-1]))
+    second = np.add.reduceat((made & np.uint64(1)).astype(np.int64), begin)
+    common = np.minimum(second, np.diff(np.append(begin, len(made))) - second)
+    return 2 * np.bincount((made[begin] >> np.uint64(48)).astype(np.int64), common, count) / np.maximum(total, 1)
 
 
 class History:
@@ -275,85 +363,99 @@ class History:
                 yield pd.DataFrame(rows, columns=_names(_BLOCK))
 
         def merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame([_join_blocks(int(key[0]), list(parts.itertuples()))], columns=_names(_BLOCK))
+            return pd.DataFrame([_join_blocks(int(key[0]), list(parts.itertuples()), HOT)], columns=_names(_BLOCK))
 
         made = records.select("id", "codes").mapInPandas(make, _BLOCK)
         return self._save(made.repartition(self.buckets, "range").groupBy("range").applyInPandas(merge, _BLOCK))
 
+    def _beside(self, rows: DataFrame, tables: list[str], columns: tuple) -> DataFrame:
+        """``rows``, of one ``range`` each, with the blocks of that range in the segments ``tables``: ``columns`` ending in 0, 1, ...; one task reads what a bucket has in all of them."""
+        for k, name in enumerate(tables):
+            theirs = self.spark.table(name).select("range", *(F.col(c).alias(f"{c}{k}") for c in columns))
+            rows = rows.join(theirs.hint("shuffle_hash"), "range", "left")
+        return rows
+
     def _push(self, name: str, size: int) -> None:
         """Adds a segment of ``size`` suffixes, merged with those before it that are less than twice as large."""
+        names = [name]
         while self.segments and self.segments[-1][0] < 2 * size:
             old_size, old = self.segments.pop()
-            theirs = self.spark.table(old).select("range", *(F.col(c).alias(f"old_{c}") for c in _names(_BLOCK)[1:]))
-            both = self.spark.table(name).join(theirs.hint("shuffle_hash"), "range", "full")
+            names, size = [*names, old], size + old_size
+        if len(names) > 1:
 
             def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for batch in batches:
                     rows = []
                     for row in batch.itertuples():
-                        blocks = [(getattr(row, f"{prefix}keys"), getattr(row, f"{prefix}ids"), getattr(row, f"{prefix}shares")) for prefix in ("", "old_")]
-                        rows.append(_join_blocks(row.range, [_Entries(*block) for block in blocks if block[0] is not None]))
+                        blocks = [[getattr(row, f"{c}{k}") for c in ("keys", "ids", "shares")] for k in range(len(names))]
+                        blocks = [_Entries(*block) for block in blocks if block[0] is not None]
+                        rows += [_join_blocks(row.range, blocks, HOT)] if blocks else []
                     yield pd.DataFrame(rows, columns=_names(_BLOCK))
 
-            merged = self._save(both.mapInPandas(merge, _BLOCK))
-            self.spark.sql(f"DROP TABLE {name}")
-            self.spark.sql(f"DROP TABLE {old}")
-            name, size = merged, size + old_size
+            ranges = self.spark.range(len(self.fences) + 1).select(F.col("id").cast("int").alias("range")).repartition(self.buckets, "range")
+            name = self._save(self._beside(ranges, names, ("keys", "ids", "shares")).mapInPandas(merge, _BLOCK))
+            for old in names:
+                self.spark.sql(f"DROP TABLE {old}")
         self.segments.append((size, name))
 
     # --- matches -------------------------------------------------------------------------------
 
-    def _look_up(self, batch: str, segment: str, groups: int) -> DataFrame:
-        """The matches of a batch's suffixes with a segment's, found by binary search, packed by groups of the batch's records.
+    def _look_up(self, batch: str, groups: int) -> DataFrame:
+        """The matches of a batch's suffixes with its own and every segment's, found by binary search, packed by groups of the batch's records.
 
-        Of more than ``HOT`` equal suffixes only the lowest ids come, and how many there are.
+        Of more than ``HOT`` equal suffixes of a segment only the lowest ids come, and how many there are.
         """
-        inside = batch == segment
-        mine = self.spark.table(batch)
-        theirs = self.spark.table(segment).select("range", F.col("keys").alias("old_keys"), F.col("ids").alias("old_ids"))
+        others = [name for _, name in self.segments]
+        mine = self.spark.table(batch).drop("size", "rest_keys", "rest_ids")
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for blocks in batches:
                 for row in blocks.itertuples():
                     keys, ids, shares = (np.concatenate(a) for a in zip(_unpack(row), _unpack(row, _MORE)))
-                    old_keys, old_ids = np.frombuffer(row.old_keys, "<u8"), np.frombuffer(row.old_ids, "<i8")
-                    low, high = np.searchsorted(old_keys, keys, "left"), np.searchsorted(old_keys, keys, "right")
-                    n = high - low
-                    who, at = _spread(low, np.minimum(n, HOT))
-                    lower = old_ids[at] < ids[who]
-                    who, at = who[lower], at[lower]
-                    hot = np.flatnonzero(n > HOT)
                     group = _group(ids, groups)
-                    cold_of, hot_of, nothing, rows = _cut(group[who]), _cut(group[hot]), np.zeros(0, np.int64), []
-                    for number in cold_of.keys() | hot_of.keys():
-                        c, h = cold_of.get(number, nothing), hot[hot_of.get(number, nothing)]
-                        cold = (ids[who[c]], old_ids[at[c]], shares[who[c]])
-                        common = (ids[h], keys[h], shares[h], n[h])
-                        rows.append((number, inside, row.range, *(x.astype(t).tobytes() for x, t in zip((*cold, *common), ("<i8", "<i8", "<u2", "<i8", "<u8", "<u2", "<i8")))))
-                    yield pd.DataFrame(rows, columns=_names(_FOUND))
-
-        return mine.join(theirs, "range").mapInPandas(search, _FOUND)
-
-    def _look_up_rest(self, wanted: DataFrame, segment: str) -> DataFrame:
-        """``(id, kept_id, share)``: what ``_look_up`` left out for the suffixes ``wanted`` (``id``, ``key``, ``range``, ``share``, ``bound``), as far as it is below the bound."""
+                    for number_of, inside in (("", True), *((str(k), False) for k in range(len(others)))):
+                        if getattr(row, f"keys{number_of}") is None:
+                            continue
+                        old_keys, old_ids = _unpack(row, (f"keys{number_of}", f"ids{number_of}"))
+                        low, high = np.searchsorted(old_keys, keys, "left"), np.searchsorted(old_keys, keys, "right")
+                        n = high - low
+                        who, at = _spread(low, np.minimum(n, HOT))
+                        lower = old_ids[at] < ids[who]
+                        who, at = who[lower], at[lower]
+                        hot = np.flatnonzero(n > HOT)
+                        cold_of, hot_of, nothing, rows = _cut(group[who]), _cut(group[hot]), np.zeros(0, np.int64), []
+                        for number in cold_of.keys() | hot_of.keys():
+                            c, h = cold_of.get(number, nothing), hot[hot_of.get(number, nothing)]
+                            cold = (ids[who[c]], old_ids[at[c]], shares[who[c]])
+                            common = (ids[h], keys[h], shares[h], n[h])
+                            rows.append((number, inside, row.range, *(x.astype(t).tobytes() for x, t in zip((*cold, *common), ("<i8", "<i8", "<u2", "<i8", "<u8", "<u2", "<i8")))))
+                        yield pd.DataFrame(rows, columns=_names(_FOUND))
+
+        return self._beside(mine, others, ("keys", "ids")).mapInPandas(search, _FOUND)
+
+    def _look_up_rest(self, wanted: DataFrame, batch: str, groups: int) -> DataFrame:
+        """What ``_look_up`` left out for the suffixes ``wanted`` (``id``, ``key``, ``range``, ``share``, ``bound``), as far as it is below the bound, packed by groups of pairs."""
         columns = ("id", "key", "share", "bound")
         asked = wanted.repartition(self.buckets, "range").groupBy("range").agg(F.collect_list(F.struct(*columns)).alias("asked")).select("range", *(F.col(f"asked.{c}").alias(c) for c in columns))
-        theirs = self.spark.table(segment).select("range", "keys", "ids")
+        tables = [batch] + [name for _, name in self.segments]
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for blocks in batches:
                 for row in blocks.itertuples():
-                    old_keys, old_ids = np.frombuffer(row.keys, "<u8"), np.frombuffer(row.ids, "<i8")
                     ids, keys, shares, bounds = (np.asarray(a, np.int64) for a in (row.id, row.key, row.share, row.bound))
-                    low = np.searchsorted(old_keys, keys.view(np.uint64), "left") + HOT
-                    n = np.maximum(np.searchsorted(old_keys, keys.view(np.uint64), "right") - low, 0)
-                    for part in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(np.cumsum(n) // 1_000_000)) + 1):
-                        who, at = _spread(low[part], n[part])
-                        below = old_ids[at] < bounds[part][who]
-                        who, at = who[below], at[below]
-                        yield pd.DataFrame({"id": ids[part][who], "kept_id": old_ids[at], "share": shares[part][who]})
-
-        return asked.join(theirs, "range").mapInPandas(search, "id long, kept_id long, share int")
+                    for k in range(len(tables)):
+                        if not getattr(row, f"rest_keys{k}"):
+                            continue
+                        old_keys, old_ids = _unpack(row, (f"rest_keys{k}", f"rest_ids{k}"))
+                        low = np.searchsorted(old_keys, keys.view(np.uint64), "left")
+                        n = np.searchsorted(old_keys, keys.view(np.uint64), "right") - low
+                        for part in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(np.cumsum(n) // 1_000_000)) + 1):
+                            who, at = _spread(low[part], n[part])
+                            below = old_ids[at] < bounds[part][who]
+                            who, at = who[below], at[below]
+                            yield _pack_pairs(ids[part][who], old_ids[at], shares[part][who], k == 0, groups)
+
+        return self._beside(asked, tables, ("rest_keys", "rest_ids")).mapInPandas(search, _PAIRS)
 
     def _alike(self, pairs: DataFrame, records: DataFrame) -> DataFrame:
         """Those of ``pairs`` (written: ``kept_id``, ``id`` of one of ``records``, ``inside``) whose texts are alike."""
@@ -365,7 +467,7 @@ class History:
 
         def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                like = [likeness(_codes(a), _codes(b)) >= LEAST_LIKE for a, b in zip(batch["kept_codes"], batch["codes"])]
+                like = likenesses(batch["kept_codes"].tolist(), batch["codes"].tolist()) >= LEAST_LIKE
                 yield batch.loc[like, ["kept_id", "id", "inside"]]
 
         return both.select("kept_id", "kept_codes", "id", "codes", "inside").mapInPandas(compare, "kept_id long, id long, inside boolean")
@@ -377,13 +479,12 @@ class History:
         suffixes, whose matches are not all known at first, included (``_weigh``).  Of a record that is like one of
         the history, pairs above the lowest of those can be missing: it is a case of that one or of a lower one.
         """
-        tables = [batch] + [name for _, name in self.segments]
-        groups = max(2, -(-size // GROUP_PLACES))
-        packed = self._together([self._look_up(batch, name, groups) for name in tables])
+        packed = self._look_up(batch, max(2, -(-size // GROUP_PLACES)))
         weighed = self._write(packed.groupBy("group").applyInPandas(_weigh, _WEIGHED))
         cases = self.cases.select(F.col("chunk_id").alias("kept_id"))
         pairs = weighed.filter("kind = 'pair'").select("kept_id", "id", "inside")
-        to_come = weighed.filter("kind = 'wanted'").agg(F.sum("n")).first()[0] or 0
+        counts = {row.kind: row.n for row in weighed.filter("kind != 'pair'").groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # at most two rows
+        to_come = counts.get("wanted", 0)
         if not to_come:
             return self._alike(pairs, records).join(cases, "kept_id", "left_anti")
         wanted = weighed.filter("kind = 'wanted'").select("id", "key", "range", "share", "missing")
@@ -394,9 +495,19 @@ class History:
             like = self._write(self._alike(pairs, records).join(cases, "kept_id", "left_anti"))
             bounds = like.filter("not inside").groupBy("id").agg(F.min("kept_id").alias("bound"))
             wanted = self._write(wanted.join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", "id")))
-        rest = [self._look_up_rest(wanted, name).withColumn("inside", F.lit(name == batch)) for name in tables]
-        rest = self._together([weighed.filter("kind = 'share'").select("id", "kept_id", "share", "inside"), *rest]).groupBy("kept_id", "id").agg(F.sum("share").alias("share"), F.max("inside").alias("inside"))
-        rest = rest.filter(F.col("share") >= _NEED // 2).join(wanted.groupBy("id").agg(F.max("bound").alias("bound"), F.max("missing").alias("missing")), "id")
+        groups = max(2, -(-(to_come + counts.get("share", 0)) // GROUP_MATCHES))
+
+        def regroup(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for blocks in batches:
+                for row in blocks.itertuples():
+                    ids, kept, shares, inside = _unpack(row, ("ids", "kept_ids", "shares", "insides"), ("<i8", "<i8", "<i4", "?"))
+                    for where in (False, True):
+                        which = inside == where
+                        yield _pack_pairs(ids[which], kept[which], shares[which], where, groups)
+
+        shares = weighed.filter("kind = 'share'").select("ids", "kept_ids", "shares", "insides").mapInPandas(regroup, _PAIRS)
+        rest = self._look_up_rest(wanted, batch, groups).unionByName(shares).groupBy("group").applyInPandas(_add_up, "kept_id long, id long, share int, inside boolean")
+        rest = rest.join(wanted.groupBy("id").agg(F.max("bound").alias("bound"), F.max("missing").alias("missing")), "id")
         rest = rest.filter((F.col("share") >= _NEED - F.col("missing")) & (F.col("kept_id") < F.col("bound"))).select("kept_id", "id", "inside")
         if like is None:
             return self._alike(self._write(pairs.unionByName(rest).distinct()), records).join(cases, "kept_id", "left_anti")
@@ -449,22 +560,43 @@ def _spread(low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return who, np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + low[who]
 
 
+def _pack_pairs(ids: np.ndarray, kept_ids: np.ndarray, shares: np.ndarray, inside: bool, groups: int) -> pd.DataFrame:
+    """Matches of pairs of records as a row for each group.  A pair is always in the same group; the pairs of one record are in any."""
+    of = _group(ids * np.int64(31) + kept_ids, groups)
+    rows = [(number, inside, ids[k].astype("<i8").tobytes(), kept_ids[k].astype("<i8").tobytes(), shares[k].astype("<i4").tobytes()) for number, k in _cut(of).items()]
+    return pd.DataFrame(rows, columns=_names(_PAIRS))
+
+
+def _sums(ids: np.ndarray, kept: np.ndarray, shares: np.ndarray, inside: np.ndarray) -> pd.DataFrame:
+    """The share of each pair of records that its matches add up to."""
+    order = np.lexsort((kept, ids))
+    ids, kept, shares, inside = ids[order], kept[order], shares[order], inside[order]
+    begin = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (kept[1:] != kept[:-1]))) if len(ids) else np.zeros(0, np.int64)
+    return pd.DataFrame({"id": ids[begin], "kept_id": kept[begin], "share": np.add.reduceat(shares, begin) if len(begin) else begin, "inside": inside[begin]})
+
+
+def _add_up(found: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of a group whose matches cover half of what is needed."""
+    rows = list(found.itertuples())
+    parts = [_unpack(r, ("ids", "kept_ids", "shares"), ("<i8", "<i8", "<i4")) for r in rows]
+    ids, kept, shares = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(3))
+    pairs = _sums(ids, kept, shares, np.repeat([r.inside for r in rows], [len(p[0]) for p in parts]))
+    return pairs.loc[pairs["share"] >= _NEED // 2, ["kept_id", "id", "share", "inside"]]
+
+
 def _weigh(found: pd.DataFrame) -> pd.DataFrame:
     """What the matches of a group of records come to, as rows of several kinds.
 
     A ``pair`` is to be compared: matches cover enough of it, or would, if all common suffixes of
     the record were matches, too, provided these are less than half of what is needed.  Where they are more,
     those ``wanted`` are to be looked up in full: all but the commonest, which together (``missing``)
-    stay under that half.  For these records the other pairs' shares come as well (``share``).
+    stay under that half.  For these records the other pairs' shares come as well (one ``share``, packed).
     """
     rows = list(found.itertuples())
     cold = [(*_unpack(r, ("ids", "kept_ids", "shares"), ("<i8", "<i8", "<u2")), r.inside) for r in rows]
     ids, kept, shares = (np.concatenate([c[k] for c in cold]).astype(np.int64) for k in range(3))
     inside = np.repeat([c[3] for c in cold], [len(c[0]) for c in cold])
-    order = np.lexsort((kept, ids))
-    ids, kept, shares, inside = ids[order], kept[order], shares[order], inside[order]
-    begin = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (kept[1:] != kept[:-1]))) if len(ids) else np.zeros(0, np.int64)
-    pairs = pd.DataFrame({"id": ids[begin], "kept_id": kept[begin], "share": np.add.reduceat(shares, begin) if len(begin) else begin, "inside": inside[begin]})
+    pairs = _sums(ids, kept, shares, inside)
 
     hot = [(*_unpack(r, ("hot_ids", "hot_keys", "hot_shares", "hot_n"), ("<i8", "<u8", "<u2", "<i8")), r.range) for r in rows]
     common = pd.DataFrame({"id": np.concatenate([h[0] for h in hot]), "key": np.concatenate([h[1] for h in hot]).view(np.int64), "share": np.concatenate([h[2] for h in hot]).astype(np.int64), "n": np.concatenate([h[3] for h in hot]), "range": np.repeat([h[4] for h in hot], [len(h[0]) for h in hot])})
@@ -478,8 +610,11 @@ def _weigh(found: pd.DataFrame) -> pd.DataFrame:
     is_heavy = pairs["id"].isin(heavy["id"])
     chosen = pairs["share"] >= lacks.where(~is_heavy, _NEED)
     wanted = heavy.loc[heavy["left_out"] >= _NEED // 2, ["id", "key", "share", "missing"]].merge(common[["id", "key", "range", "n"]].drop_duplicates(["id", "key", "range"]), on=["id", "key"])
-    kinds = {"kept_id": "Int64", "share": "Int32", "key": "Int64", "range": "Int32", "missing": "Int32", "n": "Int64", "inside": "boolean"}
-    parts = [pairs[chosen].assign(kind="pair"), wanted.assign(kind="wanted"), pairs[is_heavy].assign(kind="share")]
+    share = pairs[is_heavy]
+    packed = {"ids": share["id"].to_numpy("<i8"), "kept_ids": share["kept_id"].to_numpy("<i8"), "shares": share["share"].to_numpy("<i4"), "insides": share["inside"].to_numpy(bool)}
+    share = pd.DataFrame([{"kind": "share", "n": len(share), **{name: a.tobytes() for name, a in packed.items()}}])
+    kinds = {"kept_id": "Int64", "share": "Int32", "key": "Int64", "range": "Int32", "missing": "Int32", "n": "Int64", "inside": "boolean", **dict.fromkeys(packed, "object")}
+    parts = [pairs[chosen].assign(kind="pair"), wanted.assign(kind="wanted"), share]
     parts = [part.assign(**{name: None for name in kinds if name not in part}).astype(kinds) for part in parts]  # before they are joined: keys are no floats
     return pd.concat(parts)[_names(_WEIGHED)]
 

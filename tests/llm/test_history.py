@@ -176,3 +176,36 @@ def test_likeness():
     rng = random.Random(2)
     some = ["", "a", "a a", "a a a b", "a a b"] + [" ".join(rng.choice("abc") for _ in range(rng.randint(1, 30))) for _ in range(60)]
     assert all(abs(history.likeness(codes(a), codes(b)) - likeness(a, b)) < 1e-12 for a in some for b in some)
+
+
+def test_word_codes_are_those_of_the_words():
+    rng = random.Random(4)
+    alphabet = "aAbZ09 _-.\n\té́ßſΣςİıﬁK 　​­\x1f\x85中аͅΐ"
+    texts = ["", " ", "x" * 50_000 + " é", *("q" * n for n in range(1, 40)), *("".join(rng.choice(alphabet) for _ in range(rng.randint(0, 50))) for _ in range(2_000))]
+    assert history.word_codes(texts) == [codes(text).astype("<u4").tobytes() for text in texts]
+    assert history.word_codes([]) == []
+
+
+@pytest.mark.parametrize("block", [1, 50, 500_000])
+def test_likenesses_of_many_pairs(monkeypatch, block):
+    monkeypatch.setattr(history, "PAIR_BLOCK", block)
+    rng = random.Random(3)
+    texts = ["", "a", "a a", "a a a b"] + [" ".join(rng.choice("abcde") for _ in range(rng.randint(1, 40))) for _ in range(40)]
+    xs, ys = [a for a in texts for _ in texts], [b for _ in texts for b in texts]
+    got = history.likenesses(history.word_codes(xs), history.word_codes(ys))
+    assert np.abs(got - [likeness(a, b) for a, b in zip(xs, ys)]).max() < 1e-12
+    assert not len(history.likenesses([], []))
+
+
+def test_the_rest_of_common_suffixes_stands_apart():
+    rng = np.random.default_rng(1)
+    parts = []
+    for n in (0, 3, 200, 500):
+        keys, ids = rng.integers(0, 40, n).astype("<u8"), rng.permutation(n).astype("<i8")
+        parts.append(history._Entries(keys.tobytes(), ids.tobytes(), np.zeros(n, "<u2").tobytes()))
+    entries = sorted((k, i) for p in parts for k, i in zip(np.frombuffer(p.keys, "<u8").tolist(), np.frombuffer(p.ids, "<i8").tolist()))
+    for hot in (1, 4, 64, 1_000):
+        block = dict(zip(history._names(history._BLOCK), history._join_blocks(7, parts, hot)))
+        want = [e for k, e in enumerate(entries) if k >= hot and entries[k - hot][0] == e[0]]
+        assert list(zip(np.frombuffer(block["rest_keys"], "<u8").tolist(), np.frombuffer(block["rest_ids"], "<i8").tolist())) == want
+        assert block["size"] == len(entries)
